@@ -6,8 +6,8 @@ bucket texts are compared with leaders, not with each other, and a pair counts i
 the connected components of such links.
 
 Copies of a text count once.  Leaders are the texts that stand in the largest buckets, so the text that others are variants of leads.
-A bucket whose members are not all linked to a leader gets twice as many leaders in the next round, taken from those left over and compared with all members,
-until none is left over: no bucket is capped.
+Members that no leader of theirs is linked to then meet those others of the bucket whose size, and number of shingles that any other text holds, allow the
+similarity at all: an exact bound, no cap.
 
 Null texts and texts without a word: a class each of their own.  Shorter texts than five words: one shingle.  Ties between leaders: the smaller id.  Rows that repeat
 an id and text fall together.  Shingles are compared by 32-bit hashes.
@@ -154,12 +154,35 @@ def components(links: DataFrame, work=stored) -> DataFrame:
         edges = work(small.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (member, leader) whose shingle sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (member, leader) with the number of shingles that both hold, and whether they are similar enough."""
     one = pairs.join(sets.select(F.col("id").alias("i"), F.col("shingles").alias("x")), F.col("member") == F.col("i")).drop("i")
     two = one.join(sets.select(F.col("id").alias("j"), F.col("shingles").alias("y")), F.col("leader") == F.col("j"))
-    both = F.size(F.array_intersect("x", "y"))
-    return two.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("member", "leader")
+    two = two.select("member", "leader", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    return two.select("member", "leader", "both", (F.col("both") >= F.lit(similarity) * (F.col("sizes") - F.col("both"))).alias("linked"))
+
+
+def possible(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (member, leader) of a bucket, one of them left over, that can reach the similarity.  met: bucket, member, both (shingles it shares with the bucket's leader), left.
+
+    Shingles that no other text of all involved holds can't be shared.  With o shingles left to share, a text of n reaches texts of o * (1 + 1 / s) - n shingles at
+    most and s * n at least: so bucket and size class are joined on.  Two texts share at most the smaller part of the leader's shingles and the smaller of
+    the rest, which is tested before a pair comes out.
+    """
+    shingle = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"))
+    solo = stored(shingle.where("texts = 1").groupBy("id").agg(F.count("*").alias("solo")), "solo").withColumnRenamed("id", "of")
+    share = sets.select("id", F.size("shingles").alias("n")).join(solo, F.col("id") == F.col("of"), "left").withColumn("o", F.col("n") - F.coalesce("solo", F.lit(0)))
+    share = stored(share.select("id", "n", "o", (F.col("o") * (1 + 1 / similarity) - F.col("n")).alias("most")).where(F.col("o") >= F.lit(similarity) * F.col("n")), "share")
+
+    def size_class(n):
+        return F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
+
+    both = met.join(share, F.col("member") == F.col("id"))
+    xs = both.where("left").select("bucket", F.col("member").alias("leader"), F.col("n").alias("ln"), F.col("o").alias("lo"), F.col("both").alias("lboth"), F.explode(F.sequence(size_class(F.ceil(F.lit(similarity) * F.col("n") - 1e-9)), size_class(F.col("most") + 1e-9))).alias("class"))
+    ys = both.select(F.col("bucket").alias("b"), "member", "n", "o", "both", size_class(F.col("n")).alias("c"))
+    o = F.least("o", "lo", F.least("both", "lboth") + F.least(F.col("o") - F.col("both"), F.col("lo") - F.col("lboth")))  # least skips nulls: pairs that were never compared
+    fits = (F.col("member") != F.col("leader")) & (o >= F.lit(similarity) * (F.col("n") + F.col("ln") - o))
+    return stored(xs.join(ys, (F.col("bucket") == F.col("b")) & (F.col("class") == F.col("c")) & fits).select(F.greatest("member", "leader").alias("member"), F.least("member", "leader").alias("leader")).distinct(), "possible")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -177,24 +200,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     involved = central.select(F.col("member").alias("id"))
     sets = stored(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", struct_udf(_setter, [("shingles", pa.list_(pa.int32()))])(F.col("text"))["shingles"].alias("shingles")), "sets")
 
-    links, pool, leaders_a_bucket = None, members, 1
-    while True:
-        part = F.pmod(F.xxhash64("member"), F.lit(leaders_a_bucket)).alias("part")
-        lead = pool.groupBy("bucket", part).agg(F.max(F.struct("rank", (-F.col("member")).alias("order"), "n")).alias("lead"))
-        lead = stored(lead.select(F.col("bucket").alias("b"), (-F.col("lead.order")).alias("leader"), F.col("lead.n").alias("leader_n")), "leaders")
-        met = members.join(lead, F.col("bucket") == F.col("b"))
-        size_ok = (F.col("member") != F.col("leader")) & (F.least("n", "leader_n") >= F.lit(similarity) * F.greatest("n", "leader_n"))
-        found = stored(verified(met.where(size_ok).select("member", "leader").distinct(), sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        # Left over: members of a bucket that are no leader in it and not linked to one of those it has had.
-        settled = met.join(found.select(F.col("member").alias("m"), F.col("leader").alias("l")), (F.col("member") == F.col("m")) & (F.col("leader") == F.col("l")), "left")
-        settled = settled.where(F.col("m").isNotNull() | (F.col("member") == F.col("leader"))).select(F.col("bucket").alias("b"), F.col("member").alias("m"))
-        left = pool.join(settled.distinct(), (F.col("bucket") == F.col("b")) & (F.col("member") == F.col("m")), "left_anti")
-        pool = stored(left, "left")
-        if pool.isEmpty():
-            break
-        members = stored(members.join(pool.select(F.col("bucket").alias("b")).distinct(), F.col("bucket") == F.col("b"), "left_semi"), "members")
-        leaders_a_bucket *= 2
+    # First round: everyone in a bucket meets its leader.  Grouped by one key more than the join has, so that the join deals both sides anew and can split hot buckets.
+    lead = members.groupBy("bucket", F.lit(0).alias("_")).agg(F.max(F.struct("rank", (-F.col("member")).alias("order"), "n")).alias("lead"))
+    lead = stored(lead.select(F.col("bucket").alias("b"), (-F.col("lead.order")).alias("leader"), F.col("lead.n").alias("leader_n")), "leaders")
+    met = members.join(lead, F.col("bucket") == F.col("b"))
+    size_ok = (F.col("member") != F.col("leader")) & (F.least("n", "leader_n") >= F.lit(similarity) * F.greatest("n", "leader_n"))
+    tried = stored(compared(met.where(size_ok).select("member", "leader").distinct(), sets, similarity), "compared")
+    links = tried.where("linked")
+
+    # Second: those of a bucket that its leader is not linked to meet the others that can be similar enough at all.
+    known = met.join(tried.select(F.col("member").alias("m"), F.col("leader").alias("l"), "both", "linked"), (F.col("member") == F.col("m")) & (F.col("leader") == F.col("l")), "left")
+    leads = F.col("member") == F.col("leader")
+    known = stored(known.select("bucket", "member", F.when(leads, F.col("n")).otherwise(F.col("both")).alias("both"), (~leads & ~F.coalesce("linked", F.lit(False))).alias("left")), "met")
+    if not known.where("left").isEmpty():
+        links = links.unionByName(stored(compared(possible(known, sets, similarity), sets, similarity), "compared").where("linked"))
 
     of = components(links.select(F.col("member").alias("a"), F.col("leader").alias("b")))
     named = stored(unique.join(of, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("class", "rep").alias("class_id")), "classes")
