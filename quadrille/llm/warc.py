@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from .common import fresh_path, table
+from .common import fresh_path, small, table
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
@@ -34,7 +34,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "n_bytes": F.octet_length("payload").cast("long")})
     # Grouped by one key more than the join has: the join then gets its own exchanges, and a hot digest's rows can be split at run time.
     first = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "first")
-    joined = rows.join(first, rows.digest == first.of, "left")
+    joined = rows.join(small(first), rows.digest == first.of, "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("of", "first")
 
 
