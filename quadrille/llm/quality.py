@@ -153,11 +153,14 @@ def telling(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
     """The forest grows on sampled rows labelled good (all sampled rows where there are none); the threshold divides the sampled labelled rows."""
-    lab = labels.groupBy(F.col("doc_id").alias("label_of")).agg(F.max("quality").alias("good"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = rows.join(lab, rows.id == lab.label_of).select(F.xxhash64("id").alias("k"), "text", "good").orderBy("k", "text").limit(SAMPLE_ROWS).collect()
+    # Labels are sampled first: at most SAMPLE_ROWS ids go to all tasks, and no text is shuffled.
+    lab = labels.groupBy(F.col("doc_id").alias("label_of")).agg(F.max("quality").alias("good")).orderBy(F.xxhash64("label_of"), "label_of").limit(SAMPLE_ROWS)
+    sample = rows.join(F.broadcast(lab), F.col("id") == F.col("label_of")).groupBy("id").agg(F.min("text").alias("text"), F.max("good").alias("good")).collect()
     if not sample:
-        sample = rows.select(F.xxhash64("id").alias("k"), "text", F.lit(None).alias("good")).orderBy("k", "text").limit(SAMPLE_ROWS).collect()
+        share = SAMPLE_ROWS / max(1, docs.count())
+        sample = rows.where(F.xxhash64("id").cast("double") / float(1 << 64) + 0.5 < share).groupBy("id").agg(F.min("text").alias("text"), F.lit(None).alias("good")).limit(SAMPLE_ROWS).collect()
+    sample.sort(key=lambda r: r.id)
     stats = [statistics(r.text) for r in sample]
     passed = [k for k, s in enumerate(stats) if not base_failed(s)]
     x = spread(np.array([stats[k][5:] for k in passed], float).reshape(-1, len(RATIOS)))
