@@ -1,11 +1,97 @@
-"""The registered queries and the SQL that gives their results."""
+"""The registered queries over the driver's tables and the SQL that gives their results."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .model import NUMERIC, RDFS, TYPE, table_triples, triples, triples_sql
+from .operators import graph, inference, statistics
+from .plans.fixpoint import closure, depths
+from .plans.sparql import plain, query
 
-def oracle_sql():
-    return {}
+FLAGSHIP = "sparql_star_aggregate"
+SMALL = ["region", "nation", "supplier"]
+SALES = ["region", "nation", "customer", "supplier", "orders"]
+
+#: name: (tables, SPARQL text, numeric variables, SQL over the same tables)
+SPARQL = {
+    "sparql_bgp_path": (["region", "nation", "customer"], "SELECT ?c ?r WHERE { ?c <urn:customer#c_nationkey>/<urn:nation#n_regionkey> ?g . ?g <urn:region#r_name> ?r }", (), "SELECT 'urn:customer:' || c_custkey AS c, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "sparql_star_aggregate": (["customer", "orders"], "SELECT ?seg (COUNT(?o) AS ?n) (MAX(?t) AS ?top) WHERE { ?o <urn:orders#o_custkey> ?c ; <urn:orders#o_totalprice> ?t . ?c <urn:customer#c_mktsegment> ?seg } GROUP BY ?seg", ("n", "top"), "SELECT c_mktsegment AS seg, CAST(count(*) AS DOUBLE) AS n, CAST(max(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
+    "sparql_filter_regex": (["customer"], "SELECT ?c ?b WHERE { ?c <urn:customer#c_mktsegment> ?m ; <urn:customer#c_acctbal> ?b FILTER(REGEX(?m, '^build', 'i') && ?b > 5000) }", ("b",), "SELECT 'urn:customer:' || c_custkey AS c, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS b FROM customer WHERE c_mktsegment ILIKE 'build%' AND CAST(c_acctbal AS DECIMAL(18,2)) > 5000"),
+    "sparql_optional": (["nation", "supplier"], "SELECT ?n ?s WHERE { ?n a <urn:class:nation> OPTIONAL { ?s <urn:supplier#s_nationkey> ?n ; <urn:supplier#s_acctbal> ?b FILTER(?b > 5000) } }", (), "SELECT 'urn:nation:' || n_nationkey AS n, 'urn:supplier:' || s_suppkey AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND CAST(s_acctbal AS DECIMAL(18,2)) > 5000"),
+    "sparql_union_minus": (SMALL, "SELECT ?x WHERE { { ?x a <urn:class:region> } UNION { ?x a <urn:class:nation> } MINUS { ?s <urn:supplier#s_nationkey> ?x } }", (), "SELECT 'urn:region:' || r_regionkey AS x FROM region UNION ALL SELECT 'urn:nation:' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)"),
+    "sparql_not_exists": (["customer", "orders"], "SELECT ?c WHERE { ?c a <urn:class:customer> FILTER NOT EXISTS { ?o <urn:orders#o_custkey> ?c } }", (), "SELECT 'urn:customer:' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "sparql_subquery_having": (["customer", "orders"], "SELECT ?c ?n WHERE { { SELECT ?c (COUNT(*) AS ?n) WHERE { ?o <urn:orders#o_custkey> ?c } GROUP BY ?c HAVING(COUNT(*) > 12) } ?c <urn:customer#c_mktsegment> 'BUILDING' }", ("n",), "SELECT 'urn:customer:' || c_custkey AS c, CAST(count(*) AS DOUBLE) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey HAVING count(*) > 12"),
+    "sparql_functions": (["nation"], "SELECT ?n (UCASE(SUBSTR(?v, 1, 3)) AS ?a) (STRLEN(?v) * 2 AS ?l) (STRAFTER(?v, '_') AS ?k) WHERE { ?n <urn:nation#n_name> ?v }", ("l",), "SELECT 'urn:nation:' || n_nationkey AS n, upper(substr(n_name, 1, 3)) AS a, CAST(length(n_name) * 2 AS DOUBLE) AS l, CASE WHEN instr(n_name, '_') = 0 THEN '' ELSE substr(n_name, instr(n_name, '_') + 1) END AS k FROM nation"),
+    "sparql_values_bind": (["region"], "SELECT ?r ?w WHERE { VALUES ?v { 'ASIA' 'EUROPE' } ?r <urn:region#r_name> ?v BIND(CONCAT(LCASE(?v), '!') AS ?w) }", (), "SELECT 'urn:region:' || r_regionkey AS r, lower(r_name) || '!' AS w FROM region WHERE r_name IN ('ASIA', 'EUROPE')"),
+    "sparql_top_k": (["orders"], "SELECT ?o ?t WHERE { ?o <urn:orders#o_totalprice> ?t } ORDER BY DESC(?t) ?o LIMIT 20", ("t",), "SELECT 'urn:orders:' || o_orderkey AS o, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS t FROM orders ORDER BY t DESC, o LIMIT 20"),
+    "sparql_distinct_count": (["orders"], "SELECT ?p (COUNT(DISTINCT ?c) AS ?n) WHERE { ?o <urn:orders#o_orderpriority> ?p ; <urn:orders#o_custkey> ?c } GROUP BY ?p", ("n",), "SELECT o_orderpriority AS p, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS n FROM orders GROUP BY 1"),
+}
+
+NS = "regexp_extract({}, '^(.*[#/])[^#/]*$', 1)"
+NUMBER = "dt IN (" + ", ".join(f"'{d}'" for d in NUMERIC) + ")"
+
+#: name: (tables, function of the triples, SQL over a table t of triples)
+OVER_TRIPLES: dict[str, tuple] = {
+    "stats_used_classes": (SALES, statistics.used_classes, f"SELECT o AS class, count(*) AS n FROM t WHERE p = '{TYPE}' GROUP BY 1"),
+    "stats_property_usage": (SALES, statistics.property_usage, "SELECT p AS property, count(*) AS n FROM t GROUP BY 1"),
+    "stats_distinct_entities": (SALES, statistics.distinct_entities, "SELECT count(DISTINCT iri) AS entities, count(*) AS mentions FROM (SELECT s AS iri FROM t UNION ALL SELECT p FROM t UNION ALL SELECT o FROM t WHERE t = 1)"),
+    "stats_datatypes": (SALES, statistics.datatypes, "SELECT dt, count(*) AS n FROM t WHERE t = 2 GROUP BY 1"),
+    "stats_vocabularies": (SALES, lambda t: statistics.vocabularies(t, "p"), f"SELECT {NS.format('p')} AS ns, count(*) AS n FROM t GROUP BY 1"),
+    "stats_properties_per_subject": (SALES, lambda t: statistics.properties_per(t, "s"), "SELECT s AS node, count(DISTINCT p) AS n FROM t GROUP BY 1"),
+    "stats_properties_per_object": (SMALL, lambda t: statistics.properties_per(t, "o"), "SELECT o AS node, count(DISTINCT p) AS n FROM t GROUP BY 1"),
+    "stats_value_per_property": (SALES, lambda t: statistics.value_per_property(t).withColumn("mean", F.round("mean", 4)), f"SELECT p AS property, max(CAST(o AS DOUBLE)) AS largest, round(avg(CAST(o AS DOUBLE)), 4) AS mean FROM t WHERE t = 2 AND {NUMBER} GROUP BY 1"),
+    "stats_literal_counts": (SALES, lambda t: statistics.counts(t).select("triples", "distinct_subjects", "distinct_objects", "literals", "typed_subjects"), f"SELECT count(*) AS triples, count(DISTINCT s) AS distinct_subjects, count(DISTINCT CASE WHEN t = 1 THEN o END) AS distinct_objects, count(CASE WHEN t = 2 THEN 1 END) AS literals, count(CASE WHEN p = '{TYPE}' THEN 1 END) AS typed_subjects FROM t"),
+    "quality_coverage": (SALES, lambda t: statistics.quality(t, "urn:").select("triples", F.round("coverage_detail", 12).alias("coverage_detail"), F.round("coverage_scope", 12).alias("coverage_scope"), "amount_of_triples"), f"SELECT count(*) AS triples, round(count(DISTINCT p) / count(*), 12) AS coverage_detail, round(count(DISTINCT CASE WHEN p = '{TYPE}' THEN s END) / count(*), 12) AS coverage_scope, CAST(CASE WHEN count(*) >= 1000000000 THEN 1 WHEN count(*) >= 10000000 THEN 0.75 WHEN count(*) >= 500000 THEN 0.5 WHEN count(*) >= 10000 THEN 0.25 ELSE 0 END AS DOUBLE) AS amount_of_triples FROM t"),
+    "graph_find": (SALES, lambda t: graph.find(t, p="urn:orders#o_custkey").select("s", "o"), "SELECT s, o FROM t WHERE p = 'urn:orders#o_custkey'"),
+    "graph_property_table": (["nation"], lambda t: graph.property_table(t, ["urn:nation#n_name"]).select("s", F.element_at("urn:nation#n_name", 1).alias("name")), "SELECT s, o AS name FROM t WHERE p = 'urn:nation#n_name'"),
+    "graph_in_degree": (SALES, lambda t: t.where("t = 1").groupBy("o").agg(F.count("*").alias("n")), "SELECT o, count(*) AS n FROM t WHERE t = 1 GROUP BY 1"),
+    "graph_outliers_zscore": (["customer", "supplier"], lambda t: graph.outliers(t, "zscore", 1.6), f"SELECT s, p, CAST(o AS DOUBLE) AS v FROM t JOIN (SELECT p AS q, avg(CAST(o AS DOUBLE)) AS m, stddev_pop(CAST(o AS DOUBLE)) AS d FROM t WHERE t = 2 AND {NUMBER} GROUP BY 1) ON p = q WHERE {NUMBER} AND abs(CAST(o AS DOUBLE) - m) > 1.6 * d"),
+    "graph_jaccard_similarity": (["supplier"], lambda t: graph.similarity(graph.features(t.where("t = 1"), "os"), graph.features(t.where("t = 1"), "os"), "jaccard", 0.9).select("left", "right"), "SELECT a.s AS left, b.s AS right FROM t a JOIN t b ON a.p = b.p AND a.o = b.o AND a.s < b.s WHERE a.p = 'urn:supplier#s_nationkey'"),
+    "inference_rdfs_types": (SMALL, lambda t: inference.rdfs(t.unionByName(_ontology(t))).where((F.col("p") == TYPE) & F.col("s").startswith("urn:supplier:")).select("s", "o"), "SELECT s, x.o FROM (SELECT DISTINCT s FROM t WHERE s LIKE 'urn:supplier:%'), (VALUES ('urn:class:supplier'), ('urn:class:company'), ('urn:class:agent')) x(o)"),
+}
+
+
+def _ontology(t: DataFrame) -> DataFrame:
+    rows = [("urn:class:supplier", RDFS + "subClassOf", "urn:class:company"), ("urn:class:company", RDFS + "subClassOf", "urn:class:agent"), ("urn:supplier#s_nationkey", RDFS + "domain", "urn:class:company")]
+    return triples(t.sparkSession, rows)
+
+
+def _sparql(tables, text, numbers):
+    return lambda spark, sf_dir: plain(query(table_triples(spark, sf_dir, tables), text), numbers)
+
+
+def _over(tables, fn):
+    return lambda spark, sf_dir: fn(table_triples(spark, sf_dir, tables))
+
+
+def part_size_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitive closure of a chain of brands in order, a fixpoint over data."""
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("a")).distinct()
+    later = brands.select(F.col("a").alias("c"))
+    chain = brands.join(later, F.col("a") < F.col("c")).groupBy("a").agg(F.min("c").alias("b"))
+    return closure(chain)
+
+
+def brand_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("child")).distinct()
+    later = brands.select(F.col("child").alias("c"))
+    return depths(brands.join(later, F.col("child") < F.col("c")).groupBy("child").agg(F.min("c").alias("parent")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: _sparql(tables, text, numbers) for name, (tables, text, numbers, _) in SPARQL.items()}
+    out |= {name: _over(tables, fn) for name, (tables, fn, _) in OVER_TRIPLES.items()}
+    return out | {"closure_brands": part_size_closure, "hierarchy_depth_brands": brand_depth}
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name: sql for name, (_, _, _, sql) in SPARQL.items()}
+    out |= {name: f"WITH t AS ({triples_sql(tables)}) {sql}" for name, (tables, _, sql) in OVER_TRIPLES.items()}
+    return out | {
+        "closure_brands": "WITH b AS (SELECT DISTINCT p_brand AS x FROM part) SELECT a.x AS a, b.x AS b FROM b a JOIN b ON a.x < b.x",
+        "hierarchy_depth_brands": "WITH b AS (SELECT DISTINCT p_brand AS x FROM part) SELECT x AS node, CAST(row_number() OVER (ORDER BY x DESC) - 1 AS INTEGER) AS depth FROM b",
+    }

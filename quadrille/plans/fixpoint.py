@@ -15,7 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-"))
-    return df.checkpoint(eager=True)
+    # New attributes: a plan that meets itself again after the cut must not share ids with what was cut.
+    return df.select(*(F.col(c).alias(c) for c in df.columns)).checkpoint(eager=True)
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
