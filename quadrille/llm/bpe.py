@@ -32,6 +32,12 @@ class Bpe:
     def __init__(self, tokens, rank):
         self.tokens, self.rank = tokens, rank
         self.longest = max(map(len, tokens))
+        # The lengths, longest first, of tokens that end in each two characters; few tokens need be looked up at a position.
+        tails: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                tails.setdefault(t[-2:], set()).add(len(t))
+        self.tails = {k: sorted(v, reverse=True) for k, v in tails.items()}
         self.pairs = Memo(self.neighbours, 1 << 20)
         self.alone = Memo(lambda t: self.merge(t) == [t], 1 << 18)
         self.halves = Memo(self._halves, 1 << 18)
@@ -108,17 +114,19 @@ class Bpe:
         raise ValueError(f"no token ends at {end}")
 
     def short(self, text: str) -> list[str]:
-        """The tokens of a text that fits in a window as a whole."""
-        tokens, pairs, longest = self.tokens, self.pairs, self.longest
+        """The tokens of a text that fits in a window as a whole.  Where no longer token can be the last one of a prefix, its last character is."""
+        tokens, pairs, tails = self.tokens, self.pairs, self.tails
         last = [""]
         for end in range(1, len(text) + 1):
-            for at in range(max(0, end - longest), end):
-                token = text[at:end]
-                if (token in tokens or at == end - 1) and (pairs[last[at], token] if at else self.alone[token]):
+            for size in tails.get(text[end - 2 : end], ()) if end > 1 else ():
+                if size > end:
+                    continue
+                token = text[end - size : end]
+                if token in tokens and (pairs[last[end - size], token] if size < end else self.alone[token]):
                     last.append(token)
                     break
             else:
-                raise ValueError(f"no token ends at {end}")
+                last.append(text[end - 1])
         out, end = [], len(text)
         while end:
             out.append(last[end])
