@@ -1,8 +1,12 @@
 """Operator 6: licence scans with DataFrame functions alone.
 
-A paragraph (a line of the text) that holds a licence stem is a candidate.  A multinomial logistic regression over its word n-grams, trained on the fixed
-templates below and on ordinary sentences with licence words, gives each family's probability; under a threshold calibrated on perturbed
-templates it is unknown.  A prediction is confirmed if the paragraph shares enough word pairs with a template of that family.
+A multinomial logistic regression over the word n-grams of a paragraph (a line of the text), trained on the fixed templates and short names below and on
+ordinary sentences with licence words, gives each family's probability; under a threshold calibrated on perturbed templates it is unknown.  A prediction
+is confirmed if the paragraph shares enough word pairs with a template of that family, or holds a short name of it that makes up half of the paragraph
+or has three words.
+
+Candidates are the paragraphs that hold a licence stem or an acronym in capitals, whatever their family, and all others whose prediction is confirmed:
+a paragraph without either is only passed over if it shares too few word pairs with every template to be confirmed.
 
 Scoring is a projection: no rows are exploded, joined or shuffled, so repeated rows, hot lines and extra columns need no care.  The model (a few thousand
 n-grams, whatever the input) is a literal of the plan.  Null and empty texts, and texts without candidates: no findings, licence null.  Ties: the family that sorts last.
@@ -19,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Stems, one of which a candidate paragraph holds (in lower case).
+#: Stems (in lower case) and acronyms (as written), which make a paragraph a candidate even if no family is found.
 STEMS = ["licen", "copyright", "warrant", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0", "spdx", " gpl", "unlicense"]
+ACRONYMS = r"(?<![A-Za-z0-9])(?:AGPL|LGPL|GPL|BSD|ISC|MPL|CC0)(?:v[0-9]|(?![A-Za-z]))"
+#: MIT counts where it is the whole paragraph or the paragraph has lower-case letters: in a line of capitals it may be a German word.
+MIT = r"(?<![A-Za-z0-9])MIT(?![A-Za-z])"
+MIT_ALONE = r"^[^A-Za-z0-9]*MIT[^A-Za-z0-9]*$"
 
 #: The templates of each family.
 TEMPLATES = {
@@ -39,6 +47,23 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Copyright 2020 Example Corporation. All rights reserved.", "This document is confidential and proprietary; redistribution without written permission is prohibited."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
 }
+#: Short names of each family, as they stand alone in lists and headers.
+SHORT = {
+    "AGPL": ["AGPL", "AGPL v3", "AGPLv3", "AGPL-3.0"],
+    "Apache": ["Apache 2.0", "Apache-2.0"],
+    "BSD": ["BSD", "BSD 2-Clause", "BSD 3-Clause"],
+    "CC-BY": ["CC BY", "CC BY 4.0"],
+    "CC-BY-NC": ["CC BY-NC", "CC BY-NC 4.0"],
+    "CC-BY-SA": ["CC BY-SA", "CC BY-SA 4.0"],
+    "CC0": ["CC0", "CC0 1.0"],
+    "GPL": ["GPL", "GPL v2", "GPL v3", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GNU GPL"],
+    "ISC": ["ISC"],
+    "LGPL": ["LGPL", "LGPL v2.1", "LGPL v3", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "GNU LGPL"],
+    "MIT": ["MIT"],
+    "MPL": ["MPL", "MPL 2.0", "MPL-2.0"],
+    "Proprietary": ["All rights reserved."],
+    "Unlicense": ["Unlicense"],
+}
 UNKNOWN = "unknown"
 #: Sentences that hold a stem and grant nothing.
 ORDINARY = ["He renewed his driving licence at the office last week.", "The bar lost its liquor license after the fire.", "A warrant was issued for the arrest of the two men.", "She asked for permission to leave the room early.", "The copyright debate went on in parliament for years.", "The car comes with a five year warranty on all parts.", "Taxes redistribute income from the rich to the poor.", "The old songs have long been in the public domain.", "Drivers need a valid license and insurance.", "His behaviour does not warrant such a reply.", "The ministry granted permission to build the bridge.", "A software license may cost more than the machine.", "Which license should we choose for the new version?", "The general public was not allowed to enter, version or no version.", "Fishing licences are sold in the village shop.", "the press printed the terms under which the work was done"]
@@ -49,6 +74,8 @@ ROUNDS = 400
 SEED = 6
 #: A confirmed paragraph shares this part of its word pairs, or of the template's if they are fewer.
 OVERLAP = 0.5
+#: A paragraph without a stem shares so many word pairs at least: "version 2.0" or "or later" alone confirm nothing.
+STEMLESS_PAIRS = 3
 
 
 def words(paragraph: str) -> list[str]:
@@ -90,6 +117,7 @@ def model() -> Model:
     for _ in range(120):
         fitted.append((list(rng.choice(common, rng.integers(1, 25))), len(labels) - 1))
         tested.append((list(rng.choice(common, rng.integers(1, 25))), len(labels) - 1))
+    fitted += [(words(text), labels.index(label)) for label, texts in SHORT.items() for text in texts] * 7
     vocabulary = sorted({g for ws, _ in fitted for g in grams(ws)})
     place = {g: k for k, g in enumerate(vocabulary)}
     x = np.zeros((len(fitted), len(vocabulary)))
@@ -126,44 +154,109 @@ def _pairs(ws: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
+def _stemmed(value: Column) -> Column:
+    low = F.lower(value)
+    return functools.reduce(lambda a, b: a | b, (low.contains(s) for s in STEMS))
+
+
+def _named(value: Column) -> Column:
+    """Whether a paragraph holds an acronym."""
+    return value.rlike(ACRONYMS) | (value.contains("MIT") & value.rlike(MIT) & (value.rlike("[a-z]") | value.rlike(MIT_ALONE)))
+
+
+def _word_pairs(text: str) -> list[str]:
+    return sorted({f"{a} {b}" for a, b in zip(words(text), words(text)[1:])})
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+@functools.cache
+def known_pairs() -> tuple[frozenset[str], str]:
+    """The word pairs of templates and short names, and a pattern of those of which a confirmed paragraph without stem or acronym has one at least:
+    all but STEMLESS_PAIRS - 1 of each template."""
+    weight = model().vocabulary
+    each = [set(_word_pairs(t)) for ts in TEMPLATES.values() for t in ts]
+    named = {p for ts in SHORT.values() for t in ts for p in _word_pairs(t)}
+    every = frozenset(named.union(*each))
+    spared: set[str] = set()
+    # The pairs that speak least for a family, as a rule the commonest, are spared.
+    for p in sorted(every - named, key=lambda p: (sum(float(weight[w][:-1].max()) if w in weight else 0.0 for w in p.split()), p)):
+        if all(len(spared & t) < STEMLESS_PAIRS - 1 for t in each if p in t):
+            spared.add(p)
+    tree: dict[str, dict[str, list[str]]] = {}
+    for p in sorted(every - spared):
+        first, second = p.split()
+        tree.setdefault(first[0], {}).setdefault(first[1:], []).append(second)
+    # A word never follows a letter; after a digit it may ("a.3b").
+    heads = ("{}(?:{})".format(c, "|".join("{}[^a-z0-9]+(?:{})".format(re.escape(w), "|".join(map(re.escape, ends))) for w, ends in rest.items())) for c, rest in tree.items())
+    return every, "(?<![a-z])(?:" + "|".join(heads) + ")"
+
+
+def _overlapping(paragraph: Column) -> Column:
+    """Whether a paragraph without stem or acronym shares as many word pairs with all templates and short names together as a confirmation takes with one."""
+    every, pattern = known_pairs()
+
+    def enough(pairs):
+        known = F.size(F.filter(pairs, lambda p: p.isin(sorted(every))))
+        return _let(known, lambda k: (k >= 2) | ((k > 0) & (k >= F.lit(OVERLAP) * F.size(pairs))))
+
+    low = F.lower(paragraph)
+    return F.when(low.rlike(pattern), _let(_let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda ws: F.array_distinct(_pairs(ws))), enough)).otherwise(False)
+
+
 def _finding(paragraph: Column, fit: Model) -> Column:
-    """A struct for a candidate paragraph: family, score and whether a template confirms it."""
+    """A struct for a paragraph: family, score and whether a template or short name confirms it."""
     n = len(fit.labels)
     slots: list[dict] = [{} for _ in range(BUCKETS)]
     for g, w in fit.vocabulary.items():
         slots[zlib.crc32(g.encode()) % BUCKETS][g] = w.tolist()
     weights = _literal(slots, "array<map<string,array<double>>>")
-    ws = F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), F.lit(0))
-    pairs = F.array_distinct(_pairs(ws))
-    found = F.filter(F.transform(F.concat(F.array_distinct(ws), pairs), lambda g: F.element_at(F.get(weights, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g)), lambda w: w.isNotNull())
-    z = F.aggregate(found, _literal(fit.bias.tolist(), "array<double>"), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
-    top = F.array_max(z)
-    score = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    label = F.get(_literal(fit.labels, "array<string>"), F.array_position(z, top).cast("int") - 1)
-    templates = {f: [sorted({f"{a} {b}" for a, b in zip(words(t), words(t)[1:])}) for t in ts] for f, ts in TEMPLATES.items()}
-    of = F.element_at(_literal(templates, "map<string,array<array<string>>>"), label)
-    shared = F.exists(of, lambda t: F.size(F.array_intersect(t, pairs)) >= F.lit(OVERLAP) * F.least(F.size(t), F.size(pairs)))
-    family = F.when(score >= fit.threshold, label).otherwise(F.lit(UNKNOWN))
-    return F.struct(family.alias("family"), score.alias("score"), F.coalesce(shared & (family != UNKNOWN) & (n > 0) & (F.size(pairs) > 0), F.lit(False)).alias("confirmed"))
+    templates = {f: [_word_pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+    names = {f: [p for t in ts if (p := _word_pairs(t))] for f, ts in SHORT.items()}
+    single = {f: [w[0] for t in ts if len(w := words(t)) == 1] for f, ts in SHORT.items()}
+
+    def scored(ws, pairs):
+        found = F.filter(F.transform(F.concat(F.array_distinct(ws), pairs), lambda g: F.element_at(F.get(weights, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g)), lambda w: w.isNotNull())
+        return F.aggregate(found, _literal(fit.bias.tolist(), "array<double>"), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
+
+    def judged(ws, pairs, z):
+        top = F.array_max(z)
+        label = F.get(_literal(fit.labels, "array<string>"), F.array_position(z, top).cast("int") - 1)
+        score = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+        return _let(F.struct(label.alias("label"), score.alias("score")), lambda r: verdict(ws, pairs, r["label"], r["score"]))
+
+    def verdict(ws, pairs, label, score):
+        of = F.element_at(_literal(templates, "map<string,array<array<string>>>"), label)
+        least = F.when(_stemmed(paragraph), 1).otherwise(STEMLESS_PAIRS)
+        shared = F.exists(of, lambda t: F.size(F.array_intersect(t, pairs)) >= F.greatest(least, F.lit(OVERLAP) * F.least(F.size(t), F.size(pairs))))
+        held = F.exists(F.element_at(_literal(names, "map<string,array<array<string>>>"), label), lambda t: (F.size(F.array_except(t, pairs)) == 0) & ((F.size(t) > 1) | (F.size(t) >= F.lit(OVERLAP) * F.size(pairs))))
+        # Alone, "mit" is a German word and "MIT" a licence.
+        alone = (F.size(ws) == 1) & (_stemmed(paragraph) | _named(paragraph)) & F.array_contains(F.element_at(_literal(single, "map<string,array<string>>"), label), F.get(ws, F.lit(0)))
+        family = F.when(score >= fit.threshold, label).otherwise(F.lit(UNKNOWN))
+        sure = F.coalesce(shared & (F.size(pairs) > 0), F.lit(False)) | F.coalesce(held, F.lit(False)) | F.coalesce(alone, F.lit(False))
+        return F.struct(family.alias("family"), score.alias("score"), ((family != UNKNOWN) & (n > 0) & sure).alias("confirmed"))
+
+    low = F.lower(paragraph)
+    return _let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda ws: _let(F.array_distinct(_pairs(ws)), lambda pairs: _let(scored(ws, pairs), lambda z: judged(ws, pairs, z))))
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "findings") -> DataFrame:
     """docs with an array of findings (paragraph, from 0; family; score; confirmed), one for each candidate paragraph."""
     fit = model()
-
-    def candidate(value: Column) -> Column:
-        low = F.lower(value)
-        return functools.reduce(lambda a, b: a | b, (low.contains(s) for s in STEMS))
-
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda p, k: F.struct(k.alias("paragraph"), p.alias("line")))
-    lines = F.filter(numbered, lambda p: candidate(p["line"]))
+    numbered = F.transform(F.split(F.col(text), "\n"), lambda p, k: F.struct(k.alias("paragraph"), p.alias("line"), (_stemmed(p) | _named(p)).alias("telling")))
+    lines = F.filter(numbered, lambda p: F.when(p["telling"], True).otherwise(_overlapping(p["line"])))
 
     def finding(p):
         f = _finding(p["line"], fit)
-        return F.struct(p["paragraph"].alias("paragraph"), f["family"].alias("family"), f["score"].alias("score"), f["confirmed"].alias("confirmed"))
+        return F.struct(p["paragraph"].alias("paragraph"), f["family"].alias("family"), f["score"].alias("score"), f["confirmed"].alias("confirmed"), p["telling"].alias("telling"))
 
+    found = F.filter(F.transform(lines, finding), lambda f: f["telling"] | f["confirmed"])
+    plain = F.transform(found, lambda f: F.struct(*(f[c].alias(c) for c in ("paragraph", "family", "score", "confirmed"))))
     kind = "array<struct<paragraph:int,family:string,score:double,confirmed:boolean>>"
-    return docs.withColumn(out, F.coalesce(F.when(candidate(F.col(text)), F.transform(lines, finding)), F.array().cast(kind)))
+    return docs.withColumn(out, F.coalesce(plain, F.array().cast(kind)))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

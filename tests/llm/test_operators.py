@@ -100,6 +100,16 @@ def test_licences(spark):
             assert f.family in (fit.labels[int(p.argmax())], licences.UNKNOWN) and abs(f.score - p.max()) < 1e-9
 
 
+def test_licences_without_stem(spark):
+    want = {"All rights reserved.": "Proprietary", "\u00a9 2020 Example. All rights reserved.": "Proprietary", "AGPL v3": "AGPL", "LGPL": "LGPL", "(GPL v2)": "GPL", "GPLv3": "GPL", "GPL": "GPL", "Apache 2.0": "Apache", "MIT": "MIT", "this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "MIT"}
+    none = ["mit", "Version 2.0", "or later", "this project", "Er kam mit der Bahn.", "ER KAM MIT DER BAHN", "the end of the road to the sea", "in the"]
+    got = {r.text: r.findings for r in licences.scan(docs(spark, [*want, *none])).collect()}
+    assert {t: [(f.family, f.confirmed) for f in got[t]] for t in want} == {t: [(f, True)] for t, f in want.items()}
+    assert not any(got[t] for t in none)
+    (f,) = licences.scan(docs(spark, ["GPL software of some sort"])).first().findings
+    assert f.paragraph == 0 and licences.scan(docs(spark, ["red\nLGPL"])).first().findings[0].paragraph == 1
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
