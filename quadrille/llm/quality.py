@@ -1,10 +1,10 @@
 """Operator 8: quality rules and an isolation forest over their statistics.
 
-Each document gets the rule statistics of the contract and a few ratios.  A forest of random splits is grown on a bounded sample of rows;
-documents that few splits set apart are anomalous.  Whether short paths mean bad rows is learned too: the threshold on the score is the one
-that best divides the labelled rows.  A document is kept if it passes the base rules and its score lies under the threshold.
+Each document gets the rule statistics of the contract and a few ratios.  A forest of random splits of all ratios is grown on a bounded sample of rows labelled
+good, with splits beyond their range too, so that a document odd in any ratio is set apart by few splits, whether or not a bad row is odd there.  The labelled
+rows set only the threshold on the score: the lowest that best divides them.  A document is kept if it passes the base rules and its score lies under it.
 
-Null text: no words, so base_failed.  Without labels the threshold is the fixed one below.  Ties at the threshold are kept.  Repeated rows and
+Null text: no words, so base_failed.  Without rows labelled good the forest grows on all sampled rows and the threshold is the fixed one below.  Ties at the threshold are kept.  Repeated rows and
 extra columns pass through.
 """
 
@@ -25,7 +25,9 @@ TREES = 100
 TREE_ROWS = 256
 SEED = 8
 DEFAULT_THRESHOLD = 0.62
-TELLING = 0.1
+#: Splits reach so many ranges of the good rows beyond them; a range counts as LEAST_RANGE at least, for ratios that are nearly the same in all good rows.
+MARGIN = 1.0
+LEAST_RANGE = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -67,13 +69,16 @@ UPPER = {c: None for c in range(ord("A"), ord("Z") + 1)}
 
 
 class Forest:
-    """An isolation forest: trees of random splits as arrays; score 2^(-mean path / expected path), nearer 1 for rows that are easily set apart."""
+    """An isolation forest: trees of random splits as arrays; score 2^(-mean path / expected path), nearer 1 for rows that are easily set apart.
+    With a margin, splits are drawn from a box that reaches beyond the rows, and deeper, so that rows outside their range are set apart."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED, margin: float = 0.0):
         rng = np.random.default_rng(seed)
         size = min(size, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(size, 2)))) + 2)
+        self.depth = max(1, int(np.ceil(np.log2(max(size, 2)))) + (6 if margin else 2))
         self.norm = self.expected(size)
+        reach = margin * np.maximum(np.ptp(rows, axis=0), LEAST_RANGE)
+        self.box = (rows.min(0) - reach, rows.max(0) + reach) if margin else None
         self.trees = [self.grow(rows[rng.choice(len(rows), size, replace=False)], rng) for _ in range(trees)]
 
     @staticmethod
@@ -83,20 +88,22 @@ class Forest:
     def grow(self, rows, rng):
         feature, cut, left, right, path = [], [], [], [], []
 
-        def node(part, depth):
+        def node(part, depth, box):
             k = len(feature)
             feature.append(-1), cut.append(0.0), left.append(k), right.append(k), path.append(depth + self.expected(len(part)))
-            low, high = part.min(0), part.max(0)
-            able = np.flatnonzero(high > low)
-            if depth < self.depth and len(part) > 1 and len(able):
-                f = int(rng.choice(able))
-                at = float(rng.uniform(low[f], high[f]))
-                feature[k], cut[k] = f, at
-                left[k] = node(part[part[:, f] <= at], depth + 1)
-                right[k] = node(part[part[:, f] > at], depth + 1)
+            if depth < self.depth and len(part) > 1:
+                low, high = box or (part.min(0), part.max(0))
+                able = np.flatnonzero(high > low)
+                if len(able):
+                    f = int(rng.choice(able))
+                    at = float(rng.uniform(low[f], high[f]))
+                    feature[k], cut[k] = f, at
+                    edge = np.arange(len(low)) == f
+                    left[k] = node(part[part[:, f] <= at], depth + 1, box and (low, np.where(edge, at, high)))
+                    right[k] = node(part[part[:, f] > at], depth + 1, box and (np.where(edge, at, low), high))
             return k
 
-        node(rows, 0)
+        node(rows, 0, self.box)
         return [np.array(x) for x in (feature, cut, left, right, path)]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -111,14 +118,12 @@ class Forest:
 
 
 def divide(scores: np.ndarray, good: np.ndarray) -> float:
-    """The threshold (keep at or under it) of the best balanced accuracy; among equals the highest, so that doubtful rows stay."""
+    """The threshold (keep at or under it) of the best balanced accuracy; among equals the lowest."""
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order].astype(float)
     kept = np.cumsum(g) / max(g.sum(), 1) + 1 - np.cumsum(1 - g) / max((1 - g).sum(), 1)
     last = np.append(s[1:] != s[:-1], True)
-    kept = np.where(last, kept, -1)
-    k = len(kept) - 1 - int(np.argmax(kept[::-1]))
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+    return float(s[int(np.argmax(np.where(last, kept, -1)))])
 
 
 def spread(rows: np.ndarray) -> np.ndarray:
@@ -127,28 +132,11 @@ def spread(rows: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """used: the ratios that the forest splits."""
-
-    def __init__(self, forest: Forest, threshold: float, used: list[int]):
-        self.forest, self.threshold, self.used = forest, threshold, used
+    def __init__(self, forest: Forest, threshold: float):
+        self.forest, self.threshold = forest, threshold
 
     def score(self, stats: list[tuple]) -> np.ndarray:
-        return self.forest.score(spread(np.array([s[5:] for s in stats], float).reshape(-1, len(RATIOS)))[:, self.used])
-
-
-def telling(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[int]:
-    """The fewest ratios that cover the bad rows: each next one is that in which most bad rows not yet covered lie above all but a hundredth of the good
-    ones, as long as they are TELLING of all bad rows.  So a repeated line or long words, odd but not bad, set no row apart."""
-    if not (good.any() and bad.any()):
-        return list(range(x.shape[1]))
-    above = x[bad] > np.quantile(x[good], 0.99, axis=0)
-    used: list[int] = []
-    while True:
-        left = above[~above[:, used].any(1)] if used else above
-        gain = left.sum(0) / bad.sum()
-        if gain.max(initial=0) < TELLING:
-            return used or list(range(x.shape[1]))
-        used.append(int(gain.argmax()))
+        return self.forest.score(spread(np.array([s[5:] for s in stats], float).reshape(-1, len(RATIOS))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
@@ -167,16 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     good = np.array([sample[k].good == 1 for k in passed], bool)
     known = np.array([sample[k].good is not None for k in passed], bool)
     if not len(x):
-        return Model(Forest(np.zeros((2, len(RATIOS)))), DEFAULT_THRESHOLD, list(range(len(RATIOS))))
-    used = telling(x, good, known & ~good)
-    x = x[:, used]
-    # A tenth of bad rows among the rest gives the splits their range without making bad rows common.
-    bad = np.flatnonzero(known & ~good)
-    base = np.concatenate([x[good], x[bad[: max(1, good.sum() // 10)]]]) if good.any() else x
-    forest = Forest(base)
-    if not (good.any() and len(bad)):
-        return Model(forest, DEFAULT_THRESHOLD, used)
-    return Model(forest, divide(forest.score(x[known]), good[known]), used)
+        return Model(Forest(np.zeros((2, len(RATIOS)))), DEFAULT_THRESHOLD)
+    if not good.any():
+        return Model(Forest(x), DEFAULT_THRESHOLD)
+    forest = Forest(x[good], margin=MARGIN)
+    return Model(forest, divide(forest.score(x[known]), good[known]))
 
 
 def base_failed(s: tuple) -> bool:

@@ -160,6 +160,26 @@ def test_quality_divides(spark):
     assert quality.judge(docs(spark), quality.fit(docs(spark).limit(0), labels)).count() == len(ODD)
 
 
+def test_quality_of_ratios_without_bad_labels(spark):
+    """The bad rows show symbols alone; documents odd in any other ratio go too."""
+    rng = random.Random(6)
+
+    def plain(n=120):
+        return [rng.choice(["red", "green", "blue", "tree", "stone", "river"]) + str(rng.randint(0, 99)) for _ in range(n)]
+
+    def lines(words):
+        return "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+
+    good = [lines(plain()) for _ in range(60)]
+    bad = [g.replace(" ", "*** ") for g in good[:20]]
+    odd = [lines(plain()).upper(), lines(plain()).replace(" ", "!! "), lines([w * 8 for w in plain()]), lines(plain()) + "\nbuy now" * 25]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(80)], "doc_id long, quality int")
+    model = quality.fit(docs(spark, good + bad), labels)
+    got = {r.doc_id: r.quality for r in quality.judge(docs(spark, good + bad + odd), model).collect()}
+    assert [got[k].kept for k in range(80)] == [True] * 60 + [False] * 20
+    assert not any(got[k].base_failed or got[k].kept for k in range(80, 83)) and not got[83].kept
+
+
 def test_probminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     h = near_dup.mix(rng.integers(0, 1 << 62, 400).astype(np.uint64))
