@@ -2,7 +2,7 @@
 
 A page becomes a row of tokens: words, which score positive, and tags, which mostly score negative.  Weights are log odds of a token's kind inside and
 outside the content, counted on labelled pages (pages that mark their article).  One linear scan finds the contiguous region of the
-highest sum; a region that touches an element that marks the article takes that element whole.  Blocks of the region are
+highest sum; every element that marks the article and that the region touches is taken whole, and nothing of the region is given up.  Blocks of the region are
 returned, without elements that are no article text wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, comments of readers.
 
 Null and empty html, and pages without words outside such elements: an empty text.  Unclosed boilerplate ends where an article begins.  Ties: the first
@@ -133,13 +133,10 @@ class Extractor:
     def extract(self, page: str | None) -> str:
         toks = list(tokens(page or ""))
         a, b = self.region(toks)
-        inside = Counter()
-        for _, words, main, _ in toks[a:b]:
-            if main:
-                inside[main] += words
-        if inside and (most := inside.most_common(1)[0])[1]:
-            where = [k for k, t in enumerate(toks) if t[2] == most[0]]
-            a, b = where[0], where[-1] + 1
+        touched = {main for _, words, main, _ in toks[a:b] if main and words}
+        if touched:
+            where = [k for k, t in enumerate(toks) if t[2] in touched]
+            a, b = min(a, where[0]), max(b, where[-1] + 1)
         blocks, parts = [], []
 
         def flush():

@@ -87,6 +87,18 @@ def test_html_text():
     assert e.extract("<div><p>just text here</p></div><footer>f</footer>") == "just text here"
 
 
+def test_html_keeps_all_articles_and_text_beside_them():
+    page = "<html><head></head><body><nav>menu</nav><article><h1>A</h1><p>one two</p></article><footer>f</footer></body></html>"
+    e = html_text.Extractor(html_text.weights_from([page]))
+    split = f"<body><nav>menu</nav><article><p>{'red ' * 20}</p></article><div class='ad'>buy</div><article><p>{'blue ' * 30}</p></article><footer>f</footer></body>"
+    assert e.extract(split) == "red " * 19 + "red\n" + "blue " * 29 + "blue"
+    card = f"<body><nav>menu</nav><div><p>{'main ' * 60}</p><article><p>a card</p></article><p>{'more ' * 60}</p></div><footer>f</footer></body>"
+    assert e.extract(card) == "main " * 59 + "main\na card\n" + "more " * 59 + "more"
+    # An article that the region only reaches into is still taken whole.
+    long = f"<body><article><p>start</p><ul>{'<li><a>x</a></li>' * 60}</ul><p>{'text ' * 40}</p></article></body>"
+    assert e.extract(long).startswith("start\nx\n") and e.extract(long).endswith("text")
+
+
 def test_licences(spark):
     got = licences.scan(docs(spark, [*ODD, "x\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "the copyright debate went on"]))
     rows = {r.doc_id: [(f.paragraph, f.family, f.confirmed) for f in r.findings] for r in got.collect()}
