@@ -159,10 +159,13 @@ class Extractor:
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> dict[str, float]:
     """Weights from a bounded sample of pages that mark their article."""
     marked = pages.select(F.xxhash64(key).alias("k"), F.col(html).alias("h")).where(F.col("h").rlike("(?i)<(article|main)[ >]") & (F.length("h") <= LABELLED_CHARS))
-    # A share of the pages by hash, some times as many as needed, so that little is sent to the driver whatever the number of partitions.
-    share = 4 * LABELLED_PAGES / max(1, pages.count())
+    # A share of the marked pages by hash, some times as many as needed, so that little is sent to the driver whatever the number of partitions.
+    n = marked.count()
+    share = 4 * LABELLED_PAGES / max(1, n)
     some = marked.where(F.col("k").cast("double") / float(1 << 64) + 0.5 < share)
     rows = some.orderBy("k", "h").limit(LABELLED_PAGES).collect()
+    if len(rows) < min(LABELLED_PAGES, n):  # few keys, so that their hashes say little
+        rows = marked.orderBy("k", "h").limit(LABELLED_PAGES).collect()
     return weights_from([r.h for r in rows])
 
 

@@ -99,6 +99,16 @@ def test_html_keeps_all_articles_and_text_beside_them():
     assert e.extract(long).startswith("start\nx\n") and e.extract(long).endswith("text")
 
 
+def test_html_labelled_pages_are_drawn_from_marked_ones(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_text, "weights_from", lambda pages: seen.append(len(pages)))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 80 == 0, "<article>a</article>").otherwise("<p>a</p>").alias("html"))
+    html_text.fit(pages)  # 250 of 20,000 pages are marked
+    html_text.fit(pages.where("page_id % 1600 = 0"))
+    html_text.fit(pages.withColumn("page_id", F.lit(1)))
+    assert seen == [200, 13, 200]
+
+
 def test_licences(spark):
     got = licences.scan(docs(spark, [*ODD, "x\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "the copyright debate went on"]))
     rows = {r.doc_id: [(f.paragraph, f.family, f.confirmed) for f in r.findings] for r in got.collect()}
