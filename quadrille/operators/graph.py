@@ -49,11 +49,11 @@ def dictionary(terms: DataFrame, column: str) -> DataFrame:
     return counts.join(F.broadcast(offsets), "part").select("term", "n", (inside - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("id"))
 
 
-def shortest_paths(edges: DataFrame, landmarks: list[str], max_hops: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, landmarks: list[str]) -> DataFrame:
     """node, landmark, hops along edges (src, dst) towards each landmark."""
     spark = edges.sparkSession
     best = level = cut(spark.createDataFrame([(x, x, 0) for x in landmarks], "node string, landmark string, hops int"))
-    for _ in range(max_hops):
+    while True:
         ahead = level.join(edges, level.node == edges.dst).select(F.col("src").alias("node"), "landmark", (F.col("hops") + 1).alias("hops")).distinct()
         level = cut(ahead.join(best, ["node", "landmark"], "left_anti"))
         if level.isEmpty():

@@ -19,10 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns)).checkpoint(eager=True)
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
+def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Semi-naive iteration: step(delta, all) gives new rows; rows already known are taken out; ends when none is new."""
     known = delta = cut(start.distinct())
-    for _ in range(max_rounds):
+    while True:
         new = step(delta, known).select(*start.columns).distinct()
         old = known.select(*(F.col(c).alias(f"_old_{c}") for c in start.columns))
         same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in start.columns))
@@ -33,22 +33,25 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]
     return known
 
 
-def closure(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(pairs: DataFrame) -> DataFrame:
     """The transitive closure of pairs (a, b)."""
 
     def step(delta: DataFrame, known: DataFrame) -> DataFrame:
         return delta.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
 
-    return fixpoint(pairs.select("a", "b").where("a is not null and b is not null"), step, max_rounds)
-
-
-def depths(edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """node, depth: the longest chain of edges (child, parent) above each node, cycles cut at max_depth."""
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
-    best = level = cut(nodes.join(edges, nodes.node == edges.child, "left_anti").select("node", F.lit(0).alias("depth")))
-    for _ in range(max_depth):
-        level = cut(level.join(edges, level.node == edges.parent).select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
-        if level.isEmpty():
-            break
-        best = cut(best.unionByName(level).groupBy("node").agg(F.max("depth").alias("depth")))
-    return best
+    return fixpoint(pairs.select("a", "b").where("a is not null and b is not null"), step)
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """node, depth: the longest chain of edges (child, parent) above each node; null for nodes on or below a cycle, which have no longest one."""
+    left = cut(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
+    nodes = cut(edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).where("node is not null").distinct())
+    level = cut(nodes.join(left, nodes.node == left.child, "left_anti"))
+    best, depth = cut(level.withColumn("depth", F.lit(0))), 0
+    while not level.isEmpty():
+        # A node follows the last of its parents.
+        freed = left.join(level, left.parent == level.node).select(F.col("child").alias("node")).distinct()
+        left = cut(left.join(level, left.parent == level.node, "left_anti"))
+        level, depth = cut(freed.join(left, freed.node == left.child, "left_anti")), depth + 1
+        best = cut(best.unionByName(level.withColumn("depth", F.lit(depth))))
+    return nodes.join(best, "node", "left")

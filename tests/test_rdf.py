@@ -6,6 +6,7 @@ import pytest
 from quadrille import catalog
 from quadrille.model import OWL, RDFS, TYPE, XSD, triples
 from quadrille.operators import graph, inference, statistics
+from quadrille.plans.fixpoint import depths
 from quadrille.plans.sparql import plain, query
 from quadrille.sources import ntriples
 
@@ -60,3 +61,12 @@ def test_statistics_and_graph(spark):
     one = statistics.counts(t).first()
     assert (one.triples, one.blanks_as_subject, one.literals) == (4, 1, 1)
     assert sorted(r.id for r in graph.dictionary(t, "p").collect()) == [0, 1, 2]
+
+
+def test_chains_have_no_cap(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(103)]
+    edges = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "x"), ("n0", "n50")], "child string, parent string").coalesce(1)
+    got = {r.node: r.depth for r in depths(edges).collect()}
+    assert got == {f"n{k}": 103 - k for k in range(104)} | {"x": None, "y": None, "z": None}
+    paths = graph.shortest_paths(spark.createDataFrame(chain[:53], "src string, dst string").coalesce(1), ["n53"])
+    assert {r.node: r.hops for r in paths.collect()} == {f"n{k}": 53 - k for k in range(54)}
