@@ -1,12 +1,14 @@
 """Operator 5: main text of a page as a maximum-scoring subsequence.
 
-A page becomes a row of tokens: words, which score positive, and tags, which mostly score negative.  Weights are log odds of a token's kind inside and
-outside the content, counted on labelled pages (pages that mark their article).  One linear scan finds the contiguous region of the
-highest sum; every element that marks the article and that the region touches is taken whole, and nothing of the region is given up.  Blocks of the region are
-returned, without elements that are no article text wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, comments of readers.
+A page becomes a row of tokens: words, which score positive, tags, which score negative, and whole elements of a kind that may be boilerplate (by tag or by a word
+of class, id or role), each of which scores by its kind.  Weights are log odds of a token's kind inside and outside the content, counted on labelled pages
+(pages that mark their article) over a small prior.  One linear scan finds the contiguous region of the highest sum; an element that marks the article and that
+the region touches is taken whole, so nothing of an article is given up.  Inside the region, the same weights decide on each element of a suspect kind:
+it is left out where they are negative.  The blocks of what remains are returned.
 
 Null and empty html, and pages without words outside such elements: an empty text.  Unclosed boilerplate ends where an article begins.  Ties: the first
-region.  Repeated rows and extra columns pass through.
+region.  Very long pages: linear work, one string and one list of tokens each.  An empty table, or no labelled page: the prior alone gives the weights.  Repeated rows and
+extra columns pass through; a column named as the result is replaced.
 """
 
 import html as html_lib
@@ -24,7 +26,7 @@ from .common import struct_udf, table
 LABELLED_PAGES = 200
 LABELLED_CHARS = 200_000
 
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "label", "fieldset"}
 MAIN = {"article", "main"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | DROPPED
@@ -37,15 +39,18 @@ MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 APART = re.compile(r"[^a-z0-9]+")
 
 
-def is_marked(attributes: str) -> bool:
-    return any(w in MARKS for m in MARKED.finditer(attributes) for w in APART.split((m[1] or m[2] or m[3] or "").lower()))
+def suspicion(name: str, attributes: str) -> str:
+    """The kind of boilerplate that an element may be, by its tag or a word of its class, id or role; empty if none."""
+    if name in DROPPED:
+        return name
+    return next((w for m in MARKED.finditer(attributes) for w in APART.split((m[1] or m[2] or m[3] or "").lower()) if w in MARKS), "")
 
 
 def tokens(page: str):
-    """(kind, words, main, text) in page order.  kind: a tag's name, with a slash before it if it closes, or word, link (in a link) or out (in a dropped element);
-    main: the number of the article element that a token stands in, 0 outside."""
+    """(kind, words, main, text) in page order.  kind: a tag's name, with a slash before it if it closes, or word, link (in a link) or a suspect element's with a question
+    mark before it; main: the number of the article element that a token stands in, 0 outside."""
     at, end = 0, len(page)
-    dropping, depth, links, main, mains, opened = "", 0, 0, 0, 0, []
+    dropping, suspect, depth, links, main, mains, opened = "", "", 0, 0, 0, 0, []
 
     def text(a: int, b: int):
         raw = page[a:b]
@@ -53,7 +58,7 @@ def tokens(page: str):
             raw = html_lib.unescape(raw)
         n = len(raw.split())
         if raw:
-            yield ("out" if dropping else "link" if links else "word"), n, main, raw
+            yield (suspect if dropping else "link" if links else "word"), n, main, raw
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -79,11 +84,13 @@ def tokens(page: str):
                 depth += -1 if closes else 1
                 if not depth:
                     dropping = ""
-                    yield ("/" if closes else "") + name, 0, main, None
+                    yield "/?", 0, main, None
+            elif name in BLOCKS:
+                yield "?block", 0, main, None
             continue
-        if not closes and name not in VOID and name not in MAIN and name not in ("body", "html") and not attributes.endswith("/") and (name in DROPPED or is_marked(attributes)):
-            dropping, depth = name, 1
-            yield name, 0, main, None
+        if not closes and name not in VOID and name not in MAIN and name not in ("body", "html") and not attributes.endswith("/") and (why := suspicion(name, attributes)):
+            dropping, suspect, depth = name, f"?{why}", 1
+            yield suspect, 0, main, None
             continue
         if name in MAIN:
             if not closes:
@@ -102,27 +109,54 @@ def tokens(page: str):
         yield ("/" if closes else "") + name, 0, main, None
 
 
+#: Counts that all pages are taken to add to: (inside, outside) of a word, a word in a link, a suspect element and any other tag.
+PRIOR = {"word": (30.0, 3.0), "link": (2.0, 4.0), "?": (0.5, 4.0), "": (1.0, 4.0)}
+
+
+def prior(kind: str) -> tuple[float, float]:
+    return PRIOR.get(kind) or PRIOR["?" if kind[0] == "?" else ""]
+
+
 def weights_from(pages: list[str]) -> dict[str, float]:
-    """Log odds of each kind of token inside and outside the marked article; words stay positive and dropped words negative whatever the pages say."""
+    """Log odds of each kind of token inside and outside the marked article.  As the method has it, words score positive and tags negative, whatever the pages say."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        for kind, words, main, _ in tokens(page):
-            (inside if main else outside)[kind] += words if kind in ("word", "link", "out") else 1
-    n, m, kinds = sum(inside.values()), sum(outside.values()), {*inside, *outside}
-    w = {k: math.log((inside[k] + 1) / (n + len(kinds))) - math.log((outside[k] + 1) / (m + len(kinds))) for k in kinds}
-    w = {k: max(-3.0, min(3.0, v)) for k, v in w.items()}
-    return w | {"word": max(0.5, w.get("word", 1.0)), "out": min(-0.5, w.get("out", -1.0)), "link": min(0.25, w.get("link", -0.25))}
+        for kind, words, main, text in tokens(page):
+            if kind in INNER:
+                continue
+            if text is None:
+                # A suspect element is no content, wherever it stands on a labelled page.
+                (inside if main and kind[0] != "?" else outside)[kind] += 1
+            elif kind[0] != "?":
+                (inside if main else outside)[kind] += words
+    kinds = {"word", "link", "?", *inside, *outside}
+    n, m = (sum(c.values()) + sum(prior(k)[side] for k in kinds) for side, c in enumerate((inside, outside)))
+    w = {k: math.log((inside[k] + prior(k)[0]) / n) - math.log((outside[k] + prior(k)[1]) / m) for k in kinds}
+    return {k: max(LEAST, min(3.0, v)) if k == "word" else min(0.0, max(-3.0, v)) if k == "link" else max(-3.0, min(-LEAST, v)) for k, v in w.items()}
+
+
+#: Tokens that only mark blocks in a suspect element and its end.
+INNER = ("?block", "/?")
+#: How far from 0 the weights of words and tags are at least.
+LEAST = 0.05
 
 
 class Extractor:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
+    def weight(self, kind: str) -> float:
+        w = self.weights
+        return w[kind] if kind in w else w.get("?", -1.0) if kind[0] == "?" else -0.25
+
+    def scores(self, toks: list) -> list[float]:
+        """A text scores by its words; a suspect element once, whatever it holds."""
+        return [0.0 if kind in INNER else self.weight(kind) if text is None else 0.0 if kind[0] == "?" else self.weight(kind) * words for kind, words, _, text in toks]
+
     def region(self, toks: list) -> tuple[int, int]:
         """The first and the end of the maximum-scoring run of tokens."""
-        w, best, run, start, found = self.weights, 0.0, 0.0, 0, (0, 0)
-        for k, (kind, words, _, text) in enumerate(toks):
-            score = w.get(kind, -0.25) * (words if text is not None else 1)
+        best, run, start, found = 0.0, 0.0, 0, (0, 0)
+        for k, score in enumerate(self.scores(toks)):
             if run <= 0:
                 run, start = 0.0, k
             run += score
@@ -146,9 +180,9 @@ class Extractor:
 
         for kind, _, _, text in toks[a:b]:
             if text is not None:
-                if kind != "out":
+                if kind[0] != "?" or self.weight(kind) > 0:
                     parts.append(text)
-            elif kind.lstrip("/") in BLOCKS:
+            elif kind[0] == "?" or kind in INNER or kind.lstrip("/") in BLOCKS:
                 flush()
             elif kind in ("br", "/br"):
                 parts.append(" ")
