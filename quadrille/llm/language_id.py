@@ -5,8 +5,12 @@ rows holds it; transitions between the labels of neighbouring words are learned
 Sentences are the chains: forward-backward gives each word's marginals, all sentences of a batch advancing together in numpy.  A text's language is that
 of the highest mean marginal over its letters, which is also the score.
 
-Null texts and texts without a letter: und, score 0.  Ties go to the language that sorts first.  No labelled rows: und everywhere.  Repeated rows and
-extra columns pass through.
+A word of more than LONGEST letters is taken in consecutive pieces of the same chain, so that all of it counts.  Training rows of over ROW_CHARS characters give a
+span of so many, at a place that their id's hash picks.
+
+Null texts, texts without a letter (numerals such as ½ or Ⅷ are none) and empty tables of labelled rows: und, score 0.  Ties go to the language that sorts first.  Very
+long texts: linear work on one batch's words at a time.  Repeated rows and extra columns pass through; a column named as the result is replaced.  Languages
+are taken to be few: their names, and weights for each, are held by the driver and every task.
 """
 
 import re
@@ -35,13 +39,30 @@ SEED = 7
 #: The pipeline keeps a document whose language is known at this score at least.
 MIN_SCORE = 0.5
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Letters of a word, or of a piece of one, at most.
+LONGEST = 24
+
+RUNS = re.compile(r"[^\W\d_]+").findall
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+def letters_only(run: str) -> list[str]:
+    """A run of letters and numerals, without numerals and in pieces of LONGEST letters."""
+    parts = [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return [w[k : k + LONGEST] for w in parts for k in range(0, len(w), LONGEST)]
+
+
+def WORDS(text: str) -> list[str]:
+    """The words of a text, in pieces of LONGEST letters at most."""
+    runs = RUNS(text)
+    if all(map(str.isalpha, runs)) and max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    return [w for run in runs for w in letters_only(run)]
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Buckets of each word's features, NONE where a row has fewer: n-grams of one to four characters of the bounded word (so affixes too) and its place in the lexicon."""
-    low = [w.lower()[:24] for w in words]
+    low = [w.lower() for w in words]
     bounded = np.array([f"^{w}$" for w in low])
     codes = bounded.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     out, h = [], codes
@@ -215,7 +236,10 @@ def held_out(doc_id: str):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Crf:
     """Trains on a bounded sample of the rows that are not held out, about as many of each language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("k"), F.coalesce(held_out(doc_id), F.lit(False)).alias("out"))
-    rows = rows.where(F.col("lang").isNotNull() & ~F.col("out") & F.length("text").between(1, ROW_CHARS))
+    rows = rows.where(F.col("lang").isNotNull() & ~F.col("out") & (F.length("text") > 0))
+    n = F.length("text")
+    span = F.substring("text", (F.pmod(F.col("k"), F.greatest(n - ROW_CHARS, F.lit(1))) + 1).cast("int"), F.lit(ROW_CHARS))
+    rows = rows.withColumn("text", F.when(n > ROW_CHARS, span).otherwise(F.col("text")))
     share = {r.lang: ROWS_A_LANGUAGE / r["count"] for r in rows.groupBy("lang").count().collect()}
     if not share:
         return train([])
