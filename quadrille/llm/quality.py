@@ -2,10 +2,11 @@
 
 Each document gets the rule statistics of the contract and a few ratios.  A forest of random splits of all ratios is grown on a bounded sample of rows labelled
 good, with splits beyond their range too, so that a document odd in any ratio is set apart by few splits, whether or not a bad row is odd there.  The labelled
-rows set only the threshold on the score: the lowest that best divides them.  A document is kept if it passes the base rules and its score lies under it.
+rows set only the threshold on the score: it lies in the gap that best divides them.  A document is kept if it passes the base rules and its score lies under it.
 
-Null text: no words, so base_failed.  Without rows labelled good the forest grows on all sampled rows and the threshold is the fixed one below.  Ties at the threshold are kept.  Repeated rows and
-extra columns pass through.
+Null and empty texts: no words, so base_failed.  Very long texts: linear work; labelled rows of over SAMPLE_CHARS characters are not in the sample.  An empty table: no
+rows.  Without rows labelled good the forest grows on all sampled rows and the threshold is the fixed one below.  Ties at the threshold are kept.  Repeated rows and
+extra columns pass through; a column named as the result is replaced.
 """
 
 import re
@@ -118,12 +119,13 @@ class Forest:
 
 
 def divide(scores: np.ndarray, good: np.ndarray) -> float:
-    """The threshold (keep at or under it) of the best balanced accuracy; among equals the lowest."""
+    """The threshold (keep at or under it) of the best balanced accuracy: half-way between the lowest such score and the next."""
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order].astype(float)
     kept = np.cumsum(g) / max(g.sum(), 1) + 1 - np.cumsum(1 - g) / max((1 - g).sum(), 1)
     last = np.append(s[1:] != s[:-1], True)
-    return float(s[int(np.argmax(np.where(last, kept, -1)))])
+    k = int(np.argmax(np.where(last, kept, -1)))
+    return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
 
 
 def spread(rows: np.ndarray) -> np.ndarray:
