@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -74,6 +76,13 @@ def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType
     return F.arrow_udf(run, returnType=from_arrow_type(kind)).asNondeterministic()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read again: what follows neither recomputes it nor inherits its partitioning, so joins can split hot keys."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
@@ -93,6 +102,4 @@ def small(df: DataFrame) -> DataFrame:
 
 def stored_stage(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again."""
-    path = fresh_path(df.sparkSession, "stage-" + "".join(c if c.isalnum() else "-" for c in label))
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(df, "stage-" + "".join(c if c.isalnum() else "-" for c in label))

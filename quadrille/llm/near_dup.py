@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import WORD, fresh_path, struct_udf, table
+from .common import WORD, stored, struct_udf, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -126,13 +126,6 @@ def _setter():
     return work
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: what follows neither recomputes it nor inherits its partitioning, so joins can split hot keys."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def components(links: DataFrame, work=stored) -> DataFrame:
     """node, class: the smallest node connected with it, for all nodes of links (a, b).
 

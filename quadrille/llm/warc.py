@@ -1,11 +1,14 @@
 """Operator 2: WARC archives, written by Spark's own text writer and read by a Python data source.
 
 Writing needs no Python: a record is one string, and the text writer's line separator is the record separator, so any file system and commit
-protocol that Spark has serves.  Reading plans whole files into partitions, takes predicates on the record type and header columns into the
-reader, parses a record's headers first, and seeks over payloads that no one asked for.
+protocol that Spark has serves.  Equal payloads are found on a narrow table of ids, digests and urls; payloads themselves go from the scan straight into the
+archive.  Whether a row is a revisit, and so has no payload to write, is asked of a bitmap of hashed ids of fixed size; the few rows that only share a bit with
+a revisit are picked out by a join.  Reading plans whole files into partitions (one large archive is one task), takes predicates on the record type and header
+columns into the reader, parses a record's headers first, and seeks over payloads that no one asked for.
 
 Equal payloads (of min_bytes at least): the smallest page id is the response, the others revisits of it.  Null html: an empty payload.  Null url: no
-target header; line breaks in it are dropped.  Rows that repeat a page id and its payload are each a response.  Null ids come last; extra columns are ignored.
+target header; line breaks in it are dropped.  Rows that repeat a page id and its payload are each a response.  Null ids come last.  An empty table: an archive
+without records.  Very long payloads: one string each, as Spark holds them.  Extra columns, whatever their names, are ignored.
 """
 
 import gzip
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from .common import fresh_path, small, table
+from .common import fresh_path, stored, table
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
@@ -28,14 +31,36 @@ MIN_BYTES = 100
 PARTITION_BYTES = 64 << 20
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, n_bytes, refers_to (null for responses)."""
+#: Bits of the map of revisits that all tasks get: 8 MB, whatever the input.  The more revisits, the more other rows share a bit with one and go through a join.
+MAP_BITS = 1 << 26
+
+
+def narrow(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, digest, n_bytes and payload of each page."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "n_bytes": F.octet_length("payload").cast("long")})
+    return rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "n_bytes": F.octet_length("payload").cast("long")})
+
+
+def find_revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """The rows (page_id, url, digest, n_bytes) that repeat a payload, with refers_to."""
     # Grouped by one key more than the join has: the join then gets its own exchanges, and a hot digest's rows can be split at run time.
-    first = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "first")
-    joined = rows.join(small(first), rows.digest == first.of, "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("of", "first")
+    first = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "refers_to")
+    return rows.join(first, rows.digest == F.col("of")).where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).drop("of")
+
+
+def _bit(seed: int, bits: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(bits))
+
+
+def marked(rows: DataFrame, ids: DataFrame, seed: int, bits: int) -> DataFrame:
+    """rows with a column marked: whether the bitmap of ids has the bit of the row's page_id."""
+    bit = _bit(seed, bits)
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("_byte >> _place & 1") == 1, F.lit(False))
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("bucket"), "left").withColumns({"_byte": byte, "_place": (place % 8).cast("int")})
+    return joined.withColumn("marked", hit).drop("bucket", "map", "_byte", "_place")
 
 
 def record(rows: DataFrame):
@@ -63,9 +88,28 @@ def record(rows: DataFrame):
     )
 
 
-def write_warc(pages: DataFrame, path: str, **columns) -> None:
-    rows = plan_records(pages, **columns)
-    rows.select(record(rows).alias("value")).write.option("lineSep", END).text(path)
+def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, bits: int = MAP_BITS, **columns) -> None:
+    """Three folders of archives: revisits (headers alone), responses, and those responses whose id shares a bit with a revisit's."""
+
+    def put(rows: DataFrame, name: str) -> None:
+        rows.select(record(rows).alias("value")).write.option("lineSep", END).text(f"{path}/{name}")
+
+    whole = narrow(pages, **columns)
+    rows = stored(whole.drop("payload"), "warc-rows")
+    again = stored(find_revisits(rows, min_bytes), "warc-revisits")
+    put(again.withColumn("payload", F.lit("")), "revisits")
+    if again.isEmpty():
+        put(whole.withColumn("refers_to", F.lit(None).cast("string")), "responses")
+        return
+    told = marked(whole, again, 1, bits).withColumn("refers_to", F.lit(None).cast("string"))
+    put(told.where(~F.col("marked")), "responses")
+    key = ["page_id", "digest"]
+    same = lambda x: F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
+    ids = again.select(F.col("page_id").alias("id"), F.col("digest").alias("of"))
+    spared = stored(marked(rows, again, 1, bits).where("marked").select(*key).join(ids, same(ids), "left_anti").distinct(), "warc-spared")
+    if not spared.isEmpty():
+        ids = spared.select(F.col("page_id").alias("id"), F.col("digest").alias("of"))
+        put(marked(told.where("marked").drop("marked"), spared, 2, bits).where("marked").join(ids, same(ids), "left_semi"), "shared-bits")
 
 
 COLUMNS = {
