@@ -5,45 +5,64 @@ prefix has one last token: the one that the neighbour rule allows after the pref
 backpointer a position, a window of the longest token, and exact token counts at every prefix.
 """
 
+from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 
+import ahocorasick
+
 INF = float("inf")
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew at a bound, so that it never outgrows a worker."""
+    """A dict that computes what it lacks and holds so many keys at most: when half as many are new, those before them go, unless asked for since."""
 
     def __init__(self, fn, bound: int, longest: int = 1 << 30):
         super().__init__()
-        self.fn, self.bound, self.longest = fn, bound, longest
+        self.fn, self.half, self.longest, self.old = fn, bound // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= self.longest:
-            if len(self) >= self.bound:
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class Bpe:
     """tokens: the vocabulary as strings; rank(a, b): the merge order of two neighbours, None where they don't merge."""
 
-    def __init__(self, tokens, rank):
+    def __init__(self, tokens, rank, shut=None):
+        """shut: from the form of a character at a word's end to that inside a word, if the vocabulary tells the two apart."""
         self.tokens, self.rank = tokens, rank
         self.longest = max(map(len, tokens))
-        # The lengths, longest first, of tokens that end in each two characters; few tokens need be looked up at a position.
-        tails: dict[str, set[int]] = {}
-        for t in tokens:
-            if len(t) > 1:
-                tails.setdefault(t[-2:], set()).add(len(t))
-        self.tails = {k: sorted(v, reverse=True) for k, v in tails.items()}
+        self.found = self._finder({t: t for t in tokens})
+        if shut:
+            closed = {t[:-1] + shut[t[-1]]: t for t in tokens if t[-1] in shut}
+            both = {t for t in tokens if t[-1] not in shut} | closed.keys()
+            self.found_both = self._finder({t: (t if t in tokens else None, closed.get(t)) for t in both})
         self.pairs = Memo(self.neighbours, 1 << 20)
         self.alone = Memo(lambda t: self.merge(t) == [t], 1 << 18)
         self.halves = Memo(self._halves, 1 << 18)
         self.rights = Memo(lambda t: self._edge(t, 1), 1 << 18)
         self.lefts = Memo(lambda t: self._edge(t, 0), 1 << 18)
 
+    @staticmethod
+    def _finder(values: dict):
+        """Finds the tokens of more than one character in a text: each with its last place, the longest first at each."""
+        found = ahocorasick.Automaton()
+        for token, value in values.items():
+            if len(token) > 1:
+                found.add_word(token, value)
+        found.make_automaton()
+        return found
+
     def _halves(self, token: str) -> tuple[str, str] | None:
         """The two tokens whose merge made this one."""
         joins: list[int] = []
@@ -104,65 +123,89 @@ class Bpe:
                 heappush(heap, (r, h, i, part[h], part[i]))
         return [p for p in part if p]
 
-    def last_token(self, text: str, end: int, last: dict[int, str]) -> str:
-        """The last token of text[:end], given those of all shorter prefixes in the window."""
-        for size in range(min(self.longest, end), 0, -1):
-            at = end - size
-            token = text[at:end]
-            if (size == 1 or token in self.tokens) and (self.alone[token] if not at else at in last and self.pairs[last[at], token]):
-                return token
-        raise ValueError(f"no token ends at {end}")
-
-    def short(self, text: str) -> list[str]:
-        """The tokens of a text that fits in a window as a whole.  Where no longer token can be the last one of a prefix, its last character is."""
-        tokens, pairs, tails = self.tokens, self.pairs, self.tails
-        last = [""]
-        for end in range(1, len(text) + 1):
-            for size in tails.get(text[end - 2 : end], ()) if end > 1 else ():
-                if size > end:
-                    continue
-                token = text[end - size : end]
-                if token in tokens and (pairs[last[end - size], token] if size < end else self.alone[token]):
+    def stream(self, text: str):
+        """The tokens of text, in order, as lists: each is committed once all surviving backpointer paths agree on the boundary after it.
+
+        Kept are the last tokens of the prefixes that end after the last such boundary; a new token looks back over the longest token's length at most.
+        """
+        pairs, alone, longest = self.pairs, self.alone, self.longest
+        last, done, due = [""], 0, 2 * longest  # last[k]: the last token of the prefix of done + k characters
+        at = 0  # prefixes of so many characters are done; where no longer token can be the last one of a prefix, its last character is
+        for end, token in self.found.iter(text):
+            while at < end:
+                last.append(text[at])
+                at += 1
+                if len(last) > due:
+                    common = self._agreed(last)
+                    yield self._path(last, common)
+                    del last[:common]
+                    done += common
+                    due = len(last) + longest
+            if at == end and (size := len(token)) <= len(last):
+                before = last[-size]
+                if pairs[before, token] if before else alone[token]:
                     last.append(token)
-                    break
-            else:
-                last.append(text[end - 1])
-        out, end = [], len(text)
-        while end:
+                    at += 1
+        last.extend(text[at:])
+        yield self._path(last, len(last) - 1)
+
+    def _agreed(self, last: list[str]) -> int:
+        """The latest position that all paths pass which a later token can go on from: they are followed back, the latest first, until one is left."""
+        alive = set(range(len(last) - self.longest, len(last)))
+        while len(alive) > 1:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(top - len(last[top]))
+        return alive.pop()
+
+    @staticmethod
+    def _path(last: list[str], end: int) -> list[str]:
+        out = []
+        while end > 0:
             out.append(last[end])
             end -= len(last[end])
         return out[::-1]
 
-    def stream(self, text: str):
-        """The tokens of text in order.  Backpointers are kept back to the last boundary on which all surviving paths agree; tokens before it are out."""
-        last: dict[int, str] = {}
-        done, step = 0, 4 * self.longest
-        for end in range(1, len(text) + 1):
-            last[end] = self.last_token(text, end, last)
-            if end == len(text) or end % step == 0:
-                if end < len(text):  # a later token can start at any of the last positions
-                    alive = set(range(end - self.longest + 1, end + 1))
-                    while len(alive) > 1:
-                        top = max(alive)
-                        alive.remove(top)
-                        alive.add(top - len(last[top]) if top - len(last[top]) > done else done)
-                    common = alive.pop()
-                else:
-                    common = end
-                path, at = [], common
-                while at > done:
-                    path.append(last[at])
-                    at -= len(last[at])
-                yield from reversed(path)
-                last = {k: v for k, v in last.items() if k >= common}
-                done = common
-
-    def counts(self, text: str) -> list[int]:
-        """Token counts of all prefixes of text, from the empty one on."""
-        last: dict[int, str] = {}
-        out = [0]
-        for end in range(1, len(text) + 1):
-            last[end] = t = self.last_token(text, end, last)
-            out.append(out[end - len(t)] + 1)
-            last.pop(end - self.longest, None)
-        return out
+    def counts(self, texts: Iterable[str]):
+        """For each of texts (in order, so that neighbours begin alike) the token counts of all its prefixes, from the empty one on, each taken to end where a word
+        ends.  What a text shares with the one before it is not gone over again."""
+        pairs, alone, longest = self.pairs, self.alone, self.longest
+        last, inside, out, known = [""], [0], [0], ""
+        for text in texts:
+            same = 0
+            for a, b in zip(text, known):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], inside[same + 1 :], out[same + 1 :]
+            known, at, shut = text, same, same  # prefixes of so many characters have their last token, and their count
+            for end, (token, closing) in self.found_both.iter(text, max(0, same + 1 - longest)):
+                if end < same:
+                    continue
+                while at < end:
+                    last.append(text[at])
+                    inside.append(inside[-1] + 1)
+                    at += 1
+                while shut < end:
+                    out.append(inside[shut] + 1)
+                    shut += 1
+                if closing and shut == end:
+                    size = len(closing)
+                    before = last[end + 1 - size]
+                    if pairs[before, closing] if before else alone[closing]:
+                        out.append(inside[end + 1 - size] + 1)
+                        shut += 1
+                if token and at == end:
+                    size = len(token)
+                    before = last[-size]
+                    if pairs[before, token] if before else alone[token]:
+                        last.append(token)
+                        inside.append(inside[-size] + 1)
+                        at += 1
+            for char in text[at:]:
+                last.append(char)
+                inside.append(inside[-1] + 1)
+            while shut < len(text):
+                out.append(inside[shut] + 1)
+                shut += 1
+            yield out
