@@ -27,14 +27,34 @@ def docs(spark, texts=ODD, **extra):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_codec_equals_library():
+def test_codec_equals_library(monkeypatch):
     import sentencepiece
 
     path = public_tokenizers.path(sentencepiece_codec.MODEL)
     ours, theirs = sentencepiece_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    for t in [x or "" for x in ODD] + fuzz():
-        assert list(ours.encode(t)) == theirs.encode(t)
+    rng = random.Random(8)
+    runs = [pre + " " * n + w for n in (1, 2, 3, 15, 16, 17, 31, 32, 33, 47, 48, 49, 50, 130) for w in ("", "a", "日", "\n") for pre in ("", "q")]
+    joined = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(60, 900))) for _ in range(40)]
+    for t in [x or "" for x in ODD] + fuzz() + runs + joined:
+        assert ours.encode(t) == theirs.encode(t)
         assert ours.decode(ours.encode(t)) == t.replace("▁", " ")
+    monkeypatch.setattr(sentencepiece_codec, "CHUNK", 40)
+    for t in ["".join(fuzz(30, k)) for k in range(30)] + runs:
+        assert ours.encode(t) == theirs.encode(t)
+
+
+def test_stream_commits_before_the_end():
+    """Tokens of a long segment come out while its end is unread, so what is kept is bounded by where paths meet, not by the text."""
+    bpe = sentencepiece_codec.Codec(public_tokenizers.path(sentencepiece_codec.MODEL)).bpe
+    kept = []
+    agreed = bpe._agreed
+    bpe._agreed = lambda last: (kept.append(len(last)), agreed(last))[1]
+    text = "internationalizationofeverything" * 400
+    parts = list(bpe.stream(text))
+    assert "".join(t for p in parts for t in p) == text and [t for p in parts for t in p] == bpe.merge(text)
+    assert len(kept) > 100 and max(kept) <= 8 * bpe.longest
+    bpe._agreed = lambda last: len(last) - 1  # a window that commits too early gives other tokens
+    assert [t for p in bpe.stream(text) for t in p] != bpe.merge(text)
 
 
 def test_neighbour_rule_equals_merging():
@@ -46,16 +66,30 @@ def test_neighbour_rule_equals_merging():
         assert bpe.neighbours((a, b)) == (bpe.merge(a + b) == [a, b])
 
 
-def test_token_counts_equal_library():
+def test_token_counts_equal_library(spark):
     import tokenizers
 
     path = public_tokenizers.path(token_counts.MODEL)
     ours, theirs = token_counts.WordBpe(path), tokenizers.Tokenizer.from_file(path)
-    for t in [x or "" for x in ODD] + fuzz():
-        got = ours.totals(t)
-        assert (got[-1] if got else 0) == len(theirs.encode(t, add_special_tokens=False).ids)
-    for k, n in enumerate(ours.word_prefixes("internationalization")):
-        assert n == len(theirs.encode("internationalization"[:k], add_special_tokens=False).ids)
+
+    def count(t):
+        return len(theirs.encode(t, add_special_tokens=False).ids)
+
+    def prefixes(texts):
+        counts, ends = ours.prefixes(texts)
+        return [counts[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+
+    texts = [x or "" for x in ODD] + fuzz() + ["don't we'll 'tis a'b", "internationalization", "x<|endoftext|>y"]
+    for t, p in zip(texts, prefixes(texts)):
+        assert p[-1] == count(t)
+    short = [t for t in texts if len(t) < 60 and "STARTOF" not in t]
+    for t, p in zip(short, prefixes(short)):
+        norm = ours.normal(t)
+        assert p == [count(norm[:k]) for k in range(len(norm) + 1)]
+    rows = token_counts.token_counts(docs(spark, [*texts, "x" * 9000]), stored=True, limit=5)
+    for r in rows.where("text is null or text not like '%STARTOF%'").withColumn("at", token_counts.within(F.col("tokens")["counts"], 5)).collect():
+        want = max(k for k, n in enumerate(r.tokens.counts) if n <= 5)
+        assert r.tokens.n_tokens == r.tokens.counts[-1] and r.tokens.chars_in_limit == r.at == want and ours.prefixes([ours.normal(r.text or "")[:want]])[0][-1] <= 5
 
 
 def test_media_round_trip(spark):
@@ -79,6 +113,25 @@ def test_warc_pushdown_and_round_trip(spark, tmp_path):
     assert bytes(full.first().payload) == big.encode()
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_warc_revisits(spark, tmp_path, bits):
+    """Groups of copies, ids that repeat, null ids; with few bits most responses share one with a revisit."""
+    rng = random.Random(3)
+    rows = [(k, "u", rng.choice(["p", "q", "r", "s"]) * 150 if k % 3 else f"{k} " * 60) for k in range(200)] + [(7, "u", "p" * 150), (7, "u", "other " * 40), (None, "u", "q" * 150), (None, None, None), (9, "u", "7 "), (10, "u", "7 ")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w{bits}"
+    warc.write_warc(df, path, bits=bits)
+    first = {}
+    for i, _, h in rows:
+        if i is not None and h and len(h) >= 100:
+            first[h] = min(first.get(h, i), i)
+    want = sorted((f"<urn:page:{i}>" if i is not None else "", "response" if h not in first or i == first[h] else "revisit", "" if h not in first or i == first[h] else f"<urn:page:{first[h]}>", hashlib.sha256((h or "").encode()).hexdigest(), len(h or "")) for i, _, h in rows)
+    got = sorted((r.record_id or "", r.record_type, r.refers_to or "", r.payload_digest[7:], r.payload_length) for r in warc.read_warc(spark, path).collect())
+    assert got == want
+    warc.write_warc(df.limit(0), path + "-empty")
+    assert warc.read_warc(spark, path + "-empty").count() == 0
+
+
 def test_html_text():
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five<div class="comments">no</div><form>x</form></article><aside>side</aside><footer>f</footer></body></html>'
     e = html_text.Extractor(html_text.weights_from([page]))
@@ -87,6 +140,31 @@ def test_html_text():
     assert e.extract("<div><p>just text here</p></div><footer>f</footer>") == "just text here"
 
 
+def test_html_region_equals_brute_force():
+    """The scan finds a run of the highest sum of all runs, on random tokens and weights."""
+    rng = random.Random(6)
+    for _ in range(60):
+        kinds = ["word", "link", "p", "/p", "div", "?nav", "a"]
+        e = html_text.Extractor({k: rng.uniform(-2, 2) for k in kinds})
+        toks = [(k, rng.randint(1, 9), 0, "t" if k in ("word", "link") else None) for k in rng.choices(kinds, k=rng.randint(1, 30))]
+        s = e.scores(toks)
+        a, b = e.region(toks)
+        assert abs(sum(s[a:b]) - max([0.0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])) < 1e-9
+
+
+def test_html_weights_decide():
+    """Other weights give another text: of suspect elements inside the region, and of what belongs to it at all."""
+    page = "<body><ul><li><a>one</a></li><li><a>two</a></li></ul><div><p>" + "main " * 9 + "</p><div class='ad'>buy</div><p>" + "more " * 9 + "</p></div><p>x</p><ul><li><a>three</a></li></ul></body>"
+    labelled = "<body><nav>m</nav><ul><li><a>l</a></li></ul><article><p>" + "red " * 40 + "</p><div class='ad'>b</div></article><ul><li><a>k</a></li></ul></body>"
+    w = html_text.weights_from([labelled] * 20)
+    main, more = "main " * 8 + "main", "more " * 8 + "more"
+    assert html_text.Extractor(w).extract(page) in (f"{main}\n{more}", f"{main}\n{more}\nx")
+    assert "one" in html_text.Extractor(w | {"link": 50.0}).extract(page)
+    assert "buy" in html_text.Extractor(w | {"?ad": 0.5}).extract(page)
+    assert html_text.Extractor(w | {"?ad": -50.0}).extract(page) in (main, more, more + "\nx")
+    assert w["word"] > 0 and w["?ad"] < -0.5
+
+
 def test_html_keeps_all_articles_and_text_beside_them():
     page = "<html><head></head><body><nav>menu</nav><article><h1>A</h1><p>one two</p></article><footer>f</footer></body></html>"
     e = html_text.Extractor(html_text.weights_from([page]))
@@ -158,6 +236,37 @@ def test_language(spark):
     assert language_id.identify(docs(spark), language_id.fit(df.limit(0))).where("language.lang_pred <> 'und'").isEmpty()
 
 
+def test_language_of_long_words_and_numerals(spark):
+    assert language_id.WORDS("½ ² Ⅷ 12") == [] and language_id.WORDS("a½b c") == ["a", "b", "c"]
+    long = "x" * 24 + "straßenbahn"
+    assert "".join(language_id.WORDS(long)) == long and max(map(len, language_id.WORDS(long))) <= language_id.LONGEST
+    # Two words that differ only far behind are told apart.
+    rows = [(k, f"{'q' * 24}{tail * 3} " * 8, None, lang) for k, (tail, lang) in enumerate([("thingly", "en"), ("heitung", "de")] * 20)]
+    crf = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    got = {r.text: r.language for r in language_id.identify(docs(spark, ["½ ²", "q" * 24 + "thingly" * 3, "q" * 24 + "heitung" * 3, "Ⅷ"]), crf).collect()}
+    assert (got["½ ²"].lang_pred, got["½ ²"].score, got["Ⅷ"].lang_pred) == ("und", 0.0, "und")
+    assert [r.lang_pred for t, r in sorted(got.items()) if t[0] == "q"] == ["de", "en"]
+    # A language that only long rows have is learned.
+    long = spark.createDataFrame([(k, t * 2000, None, lang) for k, (t, lang) in enumerate([("the cat sat. ", "en"), ("der hund lief. ", "de")] * 20)], SCHEMA)
+    got = {r.text: r.language.lang_pred for r in language_id.identify(docs(spark, ["the cat", "der hund"]), language_id.fit(long)).collect()}
+    assert got == {"the cat": "en", "der hund": "de"}
+
+
+def test_forest_paths_equal_recursion():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60, 4))
+    for margin in (0.0, 1.0):
+        forest = quality.Forest(rows, trees=7, margin=margin)
+
+        def path(row, tree, k=0):
+            feature, cut, left, right, lengths = tree
+            return lengths[k] if feature[k] < 0 else path(row, tree, left[k] if row[feature[k]] <= cut[k] else right[k])
+
+        tested = rng.normal(scale=3, size=(40, 4))
+        want = [2 ** (-sum(path(r, t) for t in forest.trees) / 7 / forest.expected(60)) for r in tested]
+        assert np.allclose(forest.score(tested), want)
+
+
 def brute_statistics(text):
     words = quality.WORDS(text or "")
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
