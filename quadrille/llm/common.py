@@ -57,7 +57,7 @@ def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
-def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType]]):
+def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType]], limit: int = SLICE_BYTES):
     """An Arrow UDF from a column to a struct.  make() runs once a task and returns a function from an Arrow array to the struct's columns.
 
     It is marked as nondeterministic only so that the optimizer never evaluates it twice.
@@ -68,7 +68,7 @@ def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType
         work = make()
         for arr in batches:
             parts = []
-            for piece in slices(arr):
+            for piece in slices(arr, limit):
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(work(piece), fields, strict=True)]
                 parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)

@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 REGISTERS = BANDS * ROWS
+#: Bytes of text whose shingles a worker holds at a time: some ten 64-bit numbers a word, besides the words themselves.
+SLICE_BYTES = 1 << 20
 
 WORDS = re.compile(WORD).findall
 PRIME = np.uint64(0x100000001B3)
@@ -43,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self):
-        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 1 << 19, longest=64)
+        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 1 << 17, longest=64)
 
     def shingles(self, texts: list[str | None]):
         """Distinct shingle hashes of all texts (sorted within each), their counts, and each text's number of them."""
@@ -182,7 +184,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     """doc_id, class_id (the smallest id of its class), one row for each of docs."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     key = F.when(F.col("text").rlike(WORD), F.md5("text"))
-    rows = stored(texts.withColumn("s", struct_udf(_sketcher, [("bands", pa.list_(pa.int64())), ("n", pa.int32())])(F.col("text"))).select("id", key.alias("key"), F.col("s")["bands"].alias("bands"), F.col("s")["n"].alias("n")), "sketches")
+    rows = stored(texts.withColumn("s", struct_udf(_sketcher, [("bands", pa.list_(pa.int64())), ("n", pa.int32())], SLICE_BYTES)(F.col("text"))).select("id", key.alias("key"), F.col("s")["bands"].alias("bands"), F.col("s")["n"].alias("n")), "sketches")
     unique = stored(rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep")), "unique")
     reps = rows.select("id", "bands", "n").join(unique.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     every = reps.select(F.col("id").alias("member"), "n", F.explode("bands").alias("bucket"))
@@ -191,7 +193,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     central = stored(members.groupBy("member").agg(F.round(F.sum("weight"), 6).alias("rank")), "central")
     members = stored(members.join(central.withColumnRenamed("member", "m"), F.col("member") == F.col("m")).select("bucket", "member", "n", "rank"), "members")
     involved = central.select(F.col("member").alias("id"))
-    sets = stored(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", struct_udf(_setter, [("shingles", pa.list_(pa.int32()))])(F.col("text"))["shingles"].alias("shingles")), "sets")
+    sets = stored(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", struct_udf(_setter, [("shingles", pa.list_(pa.int32()))], SLICE_BYTES)(F.col("text"))["shingles"].alias("shingles")), "sets")
 
     # First round: everyone in a bucket meets its leader.  Grouped by one key more than the join has, so that the join deals both sides anew and can split hot buckets.
     lead = members.groupBy("bucket", F.lit(0).alias("_")).agg(F.max(F.struct("rank", (-F.col("member")).alias("order"), "n")).alias("lead"))
