@@ -47,7 +47,7 @@ class Bpe:
             closed = {t[:-1] + shut[t[-1]]: t for t in tokens if t[-1] in shut}
             both = {t for t in tokens if t[-1] not in shut} | closed.keys()
             self.found_both = self._finder({t: (t if t in tokens else None, closed.get(t)) for t in both})
-        self.pairs = Memo(self.neighbours, 1 << 20)
+        self.pairs = Memo(self.neighbours, 1 << 19)
         self.alone = Memo(lambda t: self.merge(t) == [t], 1 << 18)
         self.halves = Memo(self._halves, 1 << 18)
         self.rights = Memo(lambda t: self._edge(t, 1), 1 << 18)

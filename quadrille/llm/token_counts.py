@@ -68,7 +68,7 @@ class WordBpe:
         # No word holds white space, so what stands between is cut into words on its own.
         self.pieces = re.compile(f"[{SPACE}]+|[^{SPACE}]+").findall
         self.word = Memo(self._word, 1 << 19, longest=64)
-        self.piece = Memo(self._piece, 1 << 19, longest=64)
+        self.piece = Memo(self._piece, 1 << 20, longest=64)
 
     @staticmethod
     def symbols(word: str) -> str:
