@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import NUMERIC, RDFS, TYPE, table_triples, triples, triples_sql
+from .model import MappedTables, NUMERIC, RDFS, TYPE, XSD, table_triples, triples, triples_sql
 from .operators import graph, inference, statistics
 from .plans.fixpoint import closure, depths
 from .plans.sparql import plain, query
@@ -61,7 +61,7 @@ def _ontology(t: DataFrame) -> DataFrame:
 
 
 def _sparql(tables, text, numbers):
-    return lambda spark, sf_dir: plain(query(table_triples(spark, sf_dir, tables), text), numbers)
+    return lambda spark, sf_dir: plain(query(MappedTables(spark, sf_dir, tables), text), numbers)
 
 
 def _over(tables, fn):

@@ -50,6 +50,70 @@ def table_triples(spark: SparkSession, sf_dir: str, tables: list[str]) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+class MappedTables:
+    """Tables under the direct mapping, for queries that read just the tables and columns that their patterns name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: list[str]):
+        self.spark, self.sf_dir, self.tables = spark, sf_dir, tables
+
+    def frame(self, predicate: str | None = None) -> DataFrame:
+        """The triples of a predicate, or all."""
+        if predicate is None or predicate == TYPE:
+            if predicate is None:
+                return table_triples(self.spark, self.sf_dir, self.tables)
+            return reduce(DataFrame.unionByName, (self._select(t, TYPE) for t in self.tables))
+        table = self.table_of(predicate)
+        return self._select(table, predicate) if table else table_triples(self.spark, self.sf_dir, self.tables[:1]).where(F.lit(False))
+
+    def _select(self, table: str, predicate: str) -> DataFrame:
+        t, v, dt = self.value(table, predicate)
+        none = F.lit(None).cast("string")
+        return self.rows(table).where(v.isNotNull()).select(self.subject(table).alias("s"), F.lit(predicate).alias("p"), v.alias("o"), F.lit(t).alias("t"), (F.lit(dt) if dt else none).cast("string").alias("dt"), none.alias("lang"))
+
+    def table_of(self, predicate: str, o=None) -> str | None:
+        """The table whose column a predicate is, or whose class a type pattern asks for."""
+        if predicate == TYPE:
+            name = o[2].removeprefix("urn:class:") if o and o[0] == "term" and o[1] == 1 else None
+        else:
+            name, _, column = predicate.removeprefix("urn:").partition("#")
+            name = name if column in MAPPING.get(name, ((), {}))[1] else None
+        return name if name in self.tables else None
+
+    def rows(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+
+    def subject(self, table: str) -> Column:
+        return F.concat(F.lit(f"urn:{table}:"), F.concat_ws("-", *(F.col(k).cast("string") for k in MAPPING[table][0])))
+
+    def subject_is(self, table: str, iri: str) -> Column:
+        """A test on the key columns themselves, so that it reaches the scan."""
+        parts = iri.removeprefix(f"urn:{table}:").split("-")
+        keys = MAPPING[table][0]
+        if not iri.startswith(f"urn:{table}:") or len(parts) != len(keys) or not all(p.isdigit() and str(int(p)) == p for p in parts):
+            return self.subject(table) == iri
+        return reduce(lambda a, b: a & b, (F.col(k) == int(p) for k, p in zip(keys, parts)))
+
+    def value(self, table: str, predicate: str) -> tuple[int, Column, str | None]:
+        """Kind, text and datatype of a predicate's objects."""
+        if predicate == TYPE:
+            return 1, F.lit(f"urn:class:{table}"), None
+        column = predicate.partition("#")[2]
+        kind = MAPPING[table][1][column]
+        if kind in MAPPING:
+            return 1, F.concat(F.lit(f"urn:{kind}:"), F.col(column).cast("string")), None
+        return 2, F.expr(_text(column, kind)), XSD + kind
+
+    def value_is(self, table: str, predicate: str, text: str) -> Column:
+        kind = MAPPING[table][1].get(predicate.partition("#")[2])
+        column = F.col(predicate.partition("#")[2])
+        if kind == "string":
+            return column == text
+        number = text.removeprefix(f"urn:{kind}:") if kind in MAPPING else text
+        if (kind in MAPPING or kind == "integer") and number.isdigit() and str(int(number)) == number:
+            return column == int(number)
+        return self.value(table, predicate)[1] == text
+
+
 def triples_sql(tables: list[str]) -> str:
     """The same mapping for DuckDB, as the text of a common table expression body."""
     parts = []

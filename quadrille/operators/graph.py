@@ -24,7 +24,7 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b.select(*a.columns)).distinct()
+    return a.subtract(b.select(*a.columns))
 
 
 def property_table(t: DataFrame, predicates: list[str]) -> DataFrame:

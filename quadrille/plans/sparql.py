@@ -10,14 +10,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import NUMERIC, XSD
+from ..model import MappedTables, NUMERIC, XSD
 from .fixpoint import closure
 from .sparql_parser import SparqlError, parse
 
 KIND = "struct<t:int,v:string,dt:string,lang:string>"
+#: Numeric types from the narrowest to the widest; all other numeric types are kinds of integer.
+WIDTHS = ["integer", "decimal", "float", "double"]
+#: Rows up to which SERVICE <...broadcastJoin> sends its side to all tasks.
+BROADCAST_ROWS = 100_000
+MOMENT = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d\d:\d\d)?$"
 
 
 def term(t, v, dt=None, lang=None) -> Column:
@@ -59,6 +65,13 @@ class Value:
             return F.when(self.col["dt"].isin(*NUMERIC), self.col["v"].try_cast("double"))
         return self.col.try_cast("double")
 
+    def width(self) -> Column:
+        """The place of a number's type in WIDTHS."""
+        if self.kind != "term":
+            return F.lit(WIDTHS.index(self.dt[len(XSD) :]) if self.dt[len(XSD) :] in WIDTHS else 0)
+        dt = self.col["dt"]
+        return F.when(dt == XSD + "decimal", 1).when(dt == XSD + "float", 2).when(dt == XSD + "double", 3).otherwise(0)
+
     def str(self) -> Column:
         return self.col["v"] if self.kind == "term" else self.term()["v"] if self.kind == "num" else self.col.cast("string")
 
@@ -74,9 +87,30 @@ class Value:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame):
-        self.triples = triples if "g" in triples.columns else triples.withColumn("g", F.lit(None).cast("string"))
+    def __init__(self, triples: DataFrame | MappedTables):
+        self.mapped = triples if isinstance(triples, MappedTables) else None
+        base = triples.frame() if self.mapped else triples
+        self.spark = base.sparkSession
+        self.triples = base if "g" in base.columns else base.withColumn("g", F.lit(None).cast("string"))
         self.count = 0
+        self.named: list[str] | None = None
+        self.default = self.triples.where("g is null")
+
+    def dataset(self, graphs: list[str], named: list[str]) -> None:
+        """FROM and FROM NAMED: the default graph is the merge of the first, and GRAPH sees the second alone."""
+        if graphs or named:
+            self.mapped = None
+            self.default = self.triples.where(F.col("g").isin(*graphs)).withColumn("g", F.lit(None).cast("string")).distinct() if graphs else self.triples.where(F.lit(False))
+            self.named = named
+
+    def graph_triples(self, graph, p) -> DataFrame:
+        """The triples that a pattern in a graph (None: the default one) reads; of mapped tables, those of the predicate alone."""
+        if graph is None:
+            return self.mapped.frame(p[2] if p[0] == "term" else None).withColumn("g", F.lit(None).cast("string")) if self.mapped else self.default
+        t = self.triples.where("g is not null")
+        if self.named is not None:
+            t = t.where(F.col("g").isin(*self.named))
+        return t if graph[0] == "var" else t.where(F.col("g") == graph[2])
 
     def name(self, stem: str) -> str:
         self.count += 1
@@ -85,8 +119,10 @@ class Compiler:
     # -- patterns
     def pattern(self, triple, graph) -> Relation:
         s, p, o = triple
-        t = self.triples.where("g is null") if graph is None and self.named else self.triples
+        t = self.graph_triples(graph, p)
         if p[0] not in ("var", "term"):
+            if graph is not None and graph[0] == "var":
+                raise SparqlError("a path of this kind needs a named graph that is given")
             src = self.path(p, t).select(F.col("a").alias("s"), F.col("b").alias("o"))
             columns = {"s": F.col("s"), "o": F.col("o")}
         else:
@@ -111,12 +147,12 @@ class Compiler:
                     src = src.where(F.col("t") == node[1])
                     if node[1] == 2:
                         src = src.where(F.col("lang") == node[4] if node[4] else F.col("dt") == node[3])
-        if graph is not None:
-            if graph[0] == "var":
-                src = src.where("g is not null")
-                taken[graph[1]] = term(1, F.col("g"))
+        if graph is not None and graph[0] == "var":
+            col = term(1, F.col("g"))
+            if graph[1] in taken:
+                src = src.where(taken[graph[1]] == col)
             else:
-                src = src.where(F.col("g") == graph[2])
+                taken[graph[1]] = col
         return Relation(src.select(*(c.alias(v) for v, c in taken.items())) if taken else src.select(F.lit(1).alias("_one")), [*taken], {*taken})
 
     def path(self, p, t: DataFrame) -> DataFrame:
@@ -143,15 +179,55 @@ class Compiler:
         closed = closure(one)
         return closed if p[0] == "plus" else closed.union(nodes).distinct()
 
+    def steps(self, triples):
+        """The patterns with plain sequences and inverses of predicates taken apart into patterns of their own."""
+        for s, p, o in triples:
+            if p[0] == "seq":
+                nodes = [s, *(("var", "_" + self.name("s")) for _ in p[1][1:]), o]
+                yield from self.steps([(a, x, b) for a, x, b in zip(nodes, p[1], nodes[1:])])
+            elif p[0] == "inv":
+                yield from self.steps([(o, p[1], s)])
+            else:
+                yield s, p, o
+
+    def stars(self, triples) -> tuple[list[Relation], list]:
+        """Over mapped tables: patterns about one subject whose predicates are columns of one table become one scan.  Also the patterns that are left."""
+        groups: dict = {}
+        for x in triples:
+            table = self.mapped.table_of(x[1][2], x[2]) if x[1][0] == "term" else None
+            if table:
+                groups.setdefault((x[0], table), []).append(x)
+        done = {id(x) for xs in groups.values() for x in xs}
+        return [self.star(*key, xs) for key, xs in groups.items()], [x for x in triples if id(x) not in done]
+
+    def star(self, subject, table: str, triples) -> Relation:
+        df = self.mapped.rows(table)
+        where = self.mapped.subject_is(table, subject[2]) if subject[0] == "term" else None
+        df = df if where is None else df.where(where)
+        taken = {} if subject[0] == "term" else {subject[1]: term(1, self.mapped.subject(table))}
+        for _, p, o in triples:
+            t, v, dt = self.mapped.value(table, p[2])
+            df = df.where(v.isNotNull())
+            if o[0] == "term":
+                if o[1] != t or (t == 2 and (o[3] != dt or o[4])):
+                    df = df.where(F.lit(False))
+                else:
+                    df = df.where(self.mapped.value_is(table, p[2], o[2]))
+            elif o[1] in taken:
+                df = df.where(taken[o[1]] == term(t, v, dt))
+            else:
+                taken[o[1]] = term(t, v, dt)
+        return Relation(df.select(*(c.alias(v) for v, c in taken.items())) if taken else df.select(F.lit(1).alias("_one")), [*taken], {*taken})
+
     def bgp(self, triples, graph) -> Relation:
-        parts = [self.pattern(x, graph) for x in triples]
+        triples = list(self.steps(triples))
+        parts, rest = self.stars(triples) if self.mapped and graph is None else ([], triples)
         fixed = lambda x: sum(n[0] == "term" for n in x)
-        todo = sorted(range(len(parts)), key=lambda k: -fixed(triples[k]))
-        out = parts[todo.pop(0)]
+        todo = [*parts, *(self.pattern(x, graph) for x in sorted(rest, key=lambda x: -fixed(x)))]
+        out = todo.pop(0) if todo else self.unit()
         while todo:
-            k = next((k for k in todo if {*parts[k].vars} & {*out.vars}), todo[0])
-            todo.remove(k)
-            out = self.join(out, parts[k])
+            k = next((k for k, x in enumerate(todo) if {*x.vars} & {*out.vars}), 0)
+            out = self.join(out, todo.pop(k))
         return out
 
     def join(self, a: Relation, b: Relation, how: str = "inner", condition=None) -> Relation:
@@ -163,7 +239,17 @@ class Compiler:
         if condition is not None:
             # In the condition of an optional part, a shared variable is what either side has.
             tests.append(condition(left, right, renamed))
-        if not shared and how == "inner" and condition is None:
+        loose = [v for v in shared if not (v in a.bound and v in b.bound)]
+        if how == "inner" and condition is None and loose:
+            # Solutions that bind all shared variables meet by equality; only those that don't are compared one by one.
+            whole_a, whole_b = (reduce(lambda x, y: x & y, (side[n].isNotNull() for n in names)) for side, names in ((left, shared), (right, [renamed[v] for v in shared])))
+            equal = reduce(lambda x, y: x & y, (F.col(v) == F.col(renamed[v]) for v in shared))
+            same = reduce(lambda x, y: x & y, (F.col(v).isNull() | F.col(renamed[v]).isNull() | (F.col(v) == F.col(renamed[v])) for v in shared))
+            parts = [left.where(whole_a).join(right.where(whole_b), equal), left.where(~whole_a).join(right, same)]
+            if not all(v in b.bound for v in shared):
+                parts.append(left.where(whole_a).join(right.where(~whole_b), same))
+            joined = reduce(DataFrame.unionByName, parts)
+        elif not shared and how == "inner" and condition is None:
             joined = left.crossJoin(right)
         else:
             joined = left.join(right, reduce(lambda x, y: x & y, tests) if tests else F.lit(True), how)
@@ -173,10 +259,21 @@ class Compiler:
         return Relation(out, [*a.vars, *new], a.bound | b.bound if how == "inner" else set(a.bound))
 
     def unit(self) -> Relation:
-        return Relation(self.triples.sparkSession.range(1).select(), [], set())
-
-    def group(self, node, graph=None) -> Relation:
-        out, filters = None, []
+        return Relation(self.spark.range(1).select(), [], set())
+
+    def service(self, iri: str, side: Relation) -> Relation:
+        """Hints in the form of services: keep the side's solutions, or send them to all tasks while they are few."""
+        hint = iri.rsplit(":", 1)[-1].rsplit("/", 1)[-1].rsplit("#", 1)[-1]
+        if hint == "cache":
+            return Relation(side.df.persist(StorageLevel.MEMORY_AND_DISK), side.vars, side.bound)
+        if hint == "broadcastJoin":
+            few = side.df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            return Relation(F.broadcast(side.df), side.vars, side.bound) if few else side
+        raise SparqlError(f"no service {iri}")
+
+    def group(self, node, graph=None, start: Relation | None = None) -> Relation:
+        """start: the solutions that LATERAL hands in."""
+        out, filters = start, []
         for part in node[1]:
             kind = part[0]
             if kind == "filter":
@@ -202,7 +299,11 @@ class Compiler:
                 made = self.value(part[2], self.lookup(base)).term()
                 out = Relation(base.df.select(*base.vars, made.alias(part[1])), [*base.vars, part[1]], set(base.bound))
                 continue
+            if kind == "lateral":
+                out = self.group(part[1], graph, out or self.unit())
+                continue
             side = {
+                "service": lambda: self.service(part[1][2], self.group(part[2], graph)),
                 "bgp": lambda: self.bgp(part[1], graph),
                 "union": lambda: self.union([self.group(x, graph) for x in part[1]]),
                 "sub_group": lambda: self.group(part[1], graph),
@@ -229,10 +330,39 @@ class Compiler:
             tests = [rel.df[v] == right[f"_x{v}"] if v in rel.bound and v in side.bound else rel.df[v].isNull() | right[f"_x{v}"].isNull() | (rel.df[v] == right[f"_x{v}"]) for v in shared]
             how = "left_anti" if e[2] != negated else "left_semi"
             return Relation(rel.df.join(right, reduce(lambda x, y: x & y, tests) if tests else F.lit(True), how), rel.vars, rel.bound)
+        rel, e = self.mark(rel, e, graph)
         keep = self.value(e, self.lookup(rel)).bool()
         bound = rel.bound | {x[2][0][1] for x in [e] if x[0] == "call" and x[1] == "BOUND"}
         return Relation(rel.df.where(keep), rel.vars, bound)
 
+    def mark(self, rel: Relation, e, graph):
+        """rel with a column for each EXISTS inside an expression, and the expression with those columns in their place."""
+        if isinstance(e, list):
+            out = []
+            for x in e:
+                rel, x = self.mark(rel, x, graph)
+                out.append(x)
+            return rel, out
+        if not isinstance(e, tuple) or e[0] in ("term", "var"):
+            return rel, e
+        if e[0] != "exists":
+            out = []
+            for x in e:
+                rel, x = self.mark(rel, x, graph) if isinstance(x, (tuple, list)) else (rel, x)
+                out.append(x)
+            return rel, tuple(out)
+        side = self.group(e[1], graph)
+        shared, flag = [v for v in rel.vars if v in side.vars], self.name("e")
+        right = side.df.select(*(F.col(v).alias(f"{flag}{k}") for k, v in enumerate(shared)), F.lit(True).alias(flag)).distinct()
+        tight = all(v in rel.bound and v in side.bound for v in shared)
+        left = rel.df if tight else rel.df.withColumn(f"{flag}_id", F.monotonically_increasing_id())
+        tests = [F.col(v) == F.col(f"{flag}{k}") if tight else F.col(v).isNull() | F.col(f"{flag}{k}").isNull() | (F.col(v) == F.col(f"{flag}{k}")) for k, v in enumerate(shared)]
+        joined = left.join(right, reduce(lambda x, y: x & y, tests) if tests else F.lit(True), "left")
+        joined = joined if tight else joined.dropDuplicates([f"{flag}_id"])
+        found = F.coalesce(F.col(flag), F.lit(False))
+        df = joined.select(*rel.df.columns, (~found if e[2] else found).alias(f"{flag}_found"))
+        return Relation(df, rel.vars, rel.bound), ("flag", f"{flag}_found")
+
     def anti(self, a: Relation, b: Relation) -> Relation:
         shared = [v for v in a.vars if v in b.vars]
         if not shared:
@@ -250,7 +380,7 @@ class Compiler:
 
     def values(self, names, rows) -> Relation:
         data = [tuple(None if x is None else (x[1], x[2], x[3], x[4]) for x in row) for row in rows]
-        df = self.triples.sparkSession.createDataFrame(data, ", ".join(f"`{n}` {KIND}" for n in names))
+        df = self.spark.createDataFrame(data, ", ".join(f"`{n}` {KIND}" for n in names))
         return Relation(df, names, {n for k, n in enumerate(names) if all(r[k] is not None for r in rows)})
 
     # -- solution modifiers
@@ -258,7 +388,7 @@ class Compiler:
         _, items, distinct, where, group, having, order, limit, offset = q
         rel = self.group(where, graph)
         if items is None:
-            items = [(v, None) for v in rel.vars if not v.startswith(".")]
+            items = [(v, None) for v in rel.vars if not v.startswith("__")]
         aggregates: list = []
 
         def lift(e):
@@ -317,8 +447,16 @@ class Compiler:
         value = self.value(inner, look)
         if name in ("SUM", "AVG"):
             n = value.num()
-            col = (F.sum_distinct(n) if distinct else F.sum(n)) if name == "SUM" else F.avg(F.when(F.lit(distinct), n).otherwise(n))
-            return term(2, F.coalesce(col, F.lit(0.0)).cast("string"), XSD + "double")
+            # Decimals add up exactly; the result has the widest type of the inputs, an average is a decimal at least.
+            exact = n.cast("decimal(38,6)")
+            wide = F.coalesce(F.max(F.when(n.isNotNull(), value.width())), F.lit(0))
+            total, size = (F.sum_distinct(n), F.count_distinct(n)) if distinct else (F.sum(n), F.count(n))
+            total_exact = F.sum_distinct(exact) if distinct else F.sum(exact)
+            if name == "AVG":
+                total, total_exact, wide = F.try_divide(total, size), F.try_divide(total_exact.cast("decimal(38,12)"), size), F.greatest(wide, F.lit(1))
+            plain = F.regexp_replace(F.regexp_replace(F.coalesce(total_exact, F.lit(0)).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+            text = F.when(wide < 2, F.coalesce(plain, total.cast("string"))).otherwise(F.coalesce(total, F.lit(0.0)).cast("string"))
+            return term(2, text, F.element_at(F.array(*(F.lit(XSD + w) for w in WIDTHS)), wide + 1))
         t = value.term()
         if name in ("MIN", "MAX"):
             key = F.struct(value.num().alias("n"), value.str().alias("x"))
@@ -360,6 +498,8 @@ class Compiler:
             return Value("num", out, XSD + "integer" if integer else XSD + "decimal")
         if kind == "call":
             return self.call(e[1], e[2], look)
+        if kind == "flag":
+            return Value("bool", F.col(e[1]))
         raise SparqlError(f"no value: {kind}")
 
     @staticmethod
@@ -405,10 +545,28 @@ class Compiler:
             pattern = F.concat(F.lit(f"(?{flags})" if flags else ""), v[1].str())
             return Value("bool", F.rlike(v[0].str(), pattern)) if name == "REGEX" else Value("str", F.regexp_replace(v[0].str(), pattern, v[2].str()))
         if name in ("ABS", "CEIL", "FLOOR", "ROUND"):
-            return Value("num", {"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": F.round}[name](v[0].num()), v[0].dt or XSD + "decimal")
-        if name in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS"):
-            at = v[0].str().try_cast("timestamp")
-            return Value("num", {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second}[name](at), XSD + "integer")
+            n = v[0].num()
+            made = {"ABS": lambda: F.abs(n), "CEIL": lambda: F.ceil(n), "FLOOR": lambda: F.floor(n), "ROUND": lambda: F.floor(n + 0.5)}[name]()
+            return Value("num", made, v[0].dt or XSD + "decimal")
+        if name in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS", "TZ", "TIMEZONE"):
+            part = F.regexp_extract(v[0].str(), MOMENT, {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5, "SECONDS": 6}.get(name, 7))
+            known = F.when(v[0].str().rlike(MOMENT), part)
+            if name == "TZ":
+                return Value("str", known)
+            if name == "TIMEZONE":
+                hours, minutes = F.substring(part, 2, 2).cast("int"), F.substring(part, 5, 2).cast("int")
+                span = F.concat(F.when((F.substring(part, 1, 1) == "-") & (hours + minutes > 0), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""), F.when(hours + minutes == 0, "0S").otherwise(""))
+                text = F.when(part == "Z", F.lit("PT0S")).when(part != "", span)
+                return Value("term", F.when(text.isNotNull(), term(2, text, XSD + "dayTimeDuration")))
+            return Value("num", F.when(known != "", known).cast("double"), XSD + ("decimal" if name == "SECONDS" else "integer"))
+        if name == "NOW":
+            return Value("term", term(2, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), XSD + "dateTime"))
+        if name == "RAND":
+            return Value("num", F.rand(), XSD + "double")
+        if name in ("UUID", "STRUUID"):
+            return Value("term", term(1, F.concat(F.lit("urn:uuid:"), F.uuid()))) if name == "UUID" else Value("str", F.uuid())
+        if name == "BNODE":
+            return Value("term", term(0, F.concat(F.lit("_:"), F.concat(F.lit("b"), F.md5(v[0].str())) if v else F.replace(F.uuid(), F.lit("-")))))
         if name in ("ISIRI", "ISURI", "ISBLANK", "ISLITERAL"):
             return Value("bool", v[0].term()["t"] == {"ISBLANK": 0, "ISLITERAL": 2}.get(name, 1))
         if name == "ISNUMERIC":
@@ -439,28 +597,42 @@ class Compiler:
     # -- query forms
     def run(self, text: str) -> DataFrame:
         q = parse(text)
-        self.named = " GRAPH " in f" {text.upper()} "
+        if q[0] == "from":
+            self.dataset(q[1], q[2])
+            q = q[3]
         if q[0] == "select":
             return self.select(q).df
         if q[0] == "ask":
             return self.group(q[1]).df.limit(1).agg((F.count("*") > 0).alias("answer"))
         if q[0] == "construct":
-            rel = self.select(q[2])
-            made = []
-            for s, p, o in q[1]:
-                look = {v: F.col(v) for v in rel.vars}
-                col = lambda n: term(*n[1:]) if n[0] == "term" else look.get(n[1], F.lit(None).cast(KIND))  # noqa: B023, E731
-                made.append(F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")))
-            rows = rel.df.select(F.explode(F.array(*made)).alias("x"))
-            ok = F.col("x.s").isNotNull() & F.col("x.p").isNotNull() & F.col("x.o").isNotNull() & (F.col("x.s.t") < 2) & (F.col("x.p.t") == 1)
-            return rows.where(ok).select(F.col("x.s.v").alias("s"), F.col("x.p.v").alias("p"), F.col("x.o.v").alias("o"), F.col("x.o.t").alias("t"), F.col("x.o.dt").alias("dt"), F.col("x.o.lang").alias("lang")).distinct()
+            return self.construct(q)
         rel = self.group(q[2])
-        ids = [rel.df.select(F.col(n[1])["v"].alias("id")) if n[0] == "var" else self.triples.sparkSession.createDataFrame([(n[2],)], "id string") for n in q[1]]
+        ids = [rel.df.select(F.col(n[1])["v"].alias("id")) if n[0] == "var" else self.spark.createDataFrame([(n[2],)], "id string") for n in q[1]]
         wanted = reduce(DataFrame.union, ids).distinct()
-        return self.triples.drop("g").join(wanted, F.col("s") == F.col("id"), "left_semi")
-
-
-def query(triples: DataFrame, text: str) -> DataFrame:
+        return self.default.drop("g").join(wanted, F.col("s") == F.col("id"), "left_semi")
+
+    def construct(self, q) -> DataFrame:
+        """The triples of a template; quads, with their graph in g, if the template names graphs.  A blank node of the template is one of its own in each solution."""
+        rel = self.select(q[2])
+        key = F.md5(F.concat_ws("|", *(F.coalesce(F.to_json(F.col(v)), F.lit("")) for v in rel.vars))) if rel.vars else F.lit("")
+        made, quads = [], any(len(x) > 3 for x in q[1])
+        for s, p, o, *g in q[1]:
+            def col(n):
+                if n[0] == "term":
+                    return term(*n[1:])
+                if n[1] in rel.vars:
+                    return F.col(n[1])
+                return term(0, F.concat(F.lit(f"_:{n[1].lstrip('.')}"), key)) if n[1].startswith("__") else F.lit(None).cast(KIND)
+
+            made.append(F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o"), (col(g[0]) if g else F.lit(None).cast(KIND)).alias("g"), F.lit(bool(g)).alias("in_graph")))
+        x = F.col("x")
+        ok = x["s"].isNotNull() & x["p"].isNotNull() & x["o"].isNotNull() & (x["s"]["t"] < 2) & (x["p"]["t"] == 1) & (~x["in_graph"] | F.coalesce(x["g"]["t"] == 1, F.lit(False)))
+        rows = rel.df.select(F.explode(F.array(*made)).alias("x")).where(ok)
+        columns = [x["s"]["v"].alias("s"), x["p"]["v"].alias("p"), x["o"]["v"].alias("o"), x["o"]["t"].alias("t"), x["o"]["dt"].alias("dt"), x["o"]["lang"].alias("lang")]
+        return rows.select(*columns, *([x["g"]["v"].alias("g")] if quads else [])).distinct()
+
+
+def query(triples: DataFrame | MappedTables, text: str) -> DataFrame:
     """The solutions of a SELECT query (a struct column a variable), an ASK query's answer, or the triples of CONSTRUCT and DESCRIBE."""
     return Compiler(triples).run(text)
 
