@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import OWL, RDFS, TYPE
-from ..plans.fixpoint import closure, cut, fixpoint
+from ..plans.fixpoint import closure, cut
+from .rulesets import reason
 
 KEYS = ["s", "p", "o", "t", "dt", "lang"]
 SUB_CLASS, SUB_PROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -72,45 +73,7 @@ def rdfs(t: DataFrame, simple: bool = True) -> DataFrame:
 
 def owl_horst(t: DataFrame) -> DataFrame:
     """RDFS with equivalence, inverse, symmetric, transitive and functional properties, and restrictions, to a fixpoint."""
-    t = t.select(*KEYS)
-    eq_class, eq_prop = _pairs(t, OWL + "equivalentClass"), _pairs(t, OWL + "equivalentProperty")
-    both = lambda x: x.union(x.select("b", "a"))
-    t = cut(union([t, _made(both(eq_class), F.col("a"), SUB_CLASS, F.col("b")), _made(both(eq_prop), F.col("a"), SUB_PROPERTY, F.col("b"))]).distinct())
-
-    def kind(name: str) -> DataFrame:
-        return t.where((F.col("p") == TYPE) & (F.col("o") == OWL + name)).select(F.col("s").alias("p"))
-
-    inverse = both(_pairs(t, OWL + "inverseOf")).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    on = _pairs(t, OWL + "onProperty").select(F.col("a").alias("r"), F.col("b").alias("p"))
-
-    def restriction(name: str) -> DataFrame:
-        return cut(on.join(_pairs(t, OWL + name).select(F.col("a").alias("r"), F.col("b").alias("v")), "r"))
-
-    has, some, every = restriction("hasValue"), restriction("someValuesFrom"), restriction("allValuesFrom")
-    schema = _schema(t)
-    t = union([t, _made(schema["classes"], F.col("a"), SUB_CLASS, F.col("b")), _made(schema["properties"], F.col("a"), SUB_PROPERTY, F.col("b"))])
-    inverse = cut(inverse)
-    symmetric, transitive = cut(kind("SymmetricProperty")), cut(kind("TransitiveProperty"))
-
-    def step(delta: DataFrame, known: DataFrame) -> DataFrame:
-        types = known.where(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
-        nodes = known.where("t <> 2")
-        ends = nodes.join(transitive, "p")
-        facts, typed = _facts(known, schema)
-        return union([
-            facts.select(*KEYS),
-            _made(typed, "s", TYPE, F.col("c")),
-            nodes.join(symmetric, "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), F.lit(1).alias("t"), "dt", "lang"),
-            nodes.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), F.lit(1).alias("t"), "dt", "lang"),
-            ends.join(ends.select(F.col("s").alias("o"), "p", F.col("o").alias("z")), ["o", "p"]).select("s", "p", F.col("z").alias("o"), F.lit(1).alias("t"), "dt", "lang"),
-            _made(known.join(has, "p").where("o = v"), "s", TYPE, F.col("r")),
-            _made(types.join(has, types.c == has.r), F.col("x"), F.col("p"), F.col("v")),
-            _made(nodes.join(some, "p").join(types, (F.col("o") == F.col("x")) & (F.col("v") == F.col("c"))), "s", TYPE, F.col("r")),
-            _made(nodes.join(every, "p").join(types, (F.col("s") == F.col("x")) & (F.col("r") == F.col("c"))), "o", TYPE, F.col("v")),
-        ])
-
-    facts = fixpoint(t, step)
-    return _distinct(facts.unionByName(same_as(facts, kind("FunctionalProperty"), kind("InverseFunctionalProperty"))))
+    return reason(t.select(*KEYS), "owl-horst")
 
 
 def same_as(t: DataFrame, functional: DataFrame, inverse_functional: DataFrame) -> DataFrame:
@@ -129,18 +92,3 @@ def same_as(t: DataFrame, functional: DataFrame, inverse_functional: DataFrame)
 def is_entailed(t: DataFrame, statement: tuple[str, str, str], reasoner=rdfs) -> bool:
     s, p, o = statement
     return not reasoner(t).where((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)).isEmpty()
-
-
-def el_subsumption(sub: DataFrame, conj: DataFrame, exists_right: DataFrame, exists_left: DataFrame) -> DataFrame:
-    """EL completion: all (a, b) with a under b.  sub: a, b; conj: b1, b2, d (b1 and b2 under d); exists_right: c, r, d (c under some r d); exists_left: r, d, e."""
-    start = sub.select("a", "b").union(sub.select("a", F.col("a").alias("b"))).union(sub.select(F.col("b").alias("a"), "b")).distinct()
-
-    def step(delta: DataFrame, known: DataFrame) -> DataFrame:
-        trans = delta.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        back = known.join(delta.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        met = known.join(conj, known.b == conj.b1).select("a", "b2", "d").join(known.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b2") == F.col("y"))).select("a", F.col("d").alias("b"))
-        some = known.join(exists_right, known.b == exists_right.c).select("a", "r", F.col("d").alias("f"))
-        some = some.join(known.select(F.col("a").alias("f"), F.col("b").alias("d")), "f").join(exists_left, ["r", "d"]).select("a", F.col("e").alias("b"))
-        return trans.union(back).union(met).union(some)
-
-    return fixpoint(start, step)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,12 +12,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where all executors can read it (spark.checkpoint.dir; a folder of our own only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-"))
-    # New attributes: a plan that meets itself again after the cut must not share ids with what was cut.
-    return df.select(*(F.col(c).alias(c) for c in df.columns)).checkpoint(eager=True)
+    """df, computed once and written where all executors can read it (spark.checkpoint.dir; a folder of our own only where none is set and Spark is local)."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="quadrille-")
+        spark.sparkContext.setCheckpointDir(path)
+    at = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
