@@ -79,6 +79,12 @@ class MappedTables:
             name = name if column in MAPPING.get(name, ((), {}))[1] else None
         return name if name in self.tables else None
 
+    def tables_of(self, predicate: str, o=None) -> set[str]:
+        if predicate == TYPE and not (o and o[0] == "term"):
+            return set()
+        table = self.table_of(predicate, o)
+        return {table} if table else set()
+
     def rows(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 

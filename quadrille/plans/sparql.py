@@ -88,12 +88,13 @@ class Value:
 
 class Compiler:
     def __init__(self, triples: DataFrame | MappedTables):
-        self.mapped = triples if isinstance(triples, MappedTables) else None
+        self.mapped = triples if hasattr(triples, "tables_of") else None
         base = triples.frame() if self.mapped else triples
         self.spark = base.sparkSession
         self.triples = base if "g" in base.columns else base.withColumn("g", F.lit(None).cast("string"))
         self.count = 0
         self.named: list[str] | None = None
+        self.start: Relation | None = None
         self.default = self.triples.where("g is null")
 
     def dataset(self, graphs: list[str], named: list[str]) -> None:
@@ -191,14 +192,21 @@ class Compiler:
                 yield s, p, o
 
     def stars(self, triples) -> tuple[list[Relation], list]:
-        """Over mapped tables: patterns about one subject whose predicates are columns of one table become one scan.  Also the patterns that are left."""
+        """Over mapped tables: patterns about one subject whose predicates are columns of one table become one scan of it (of each such table, if there are
+        several).  Also the patterns that are left."""
         groups: dict = {}
         for x in triples:
-            table = self.mapped.table_of(x[1][2], x[2]) if x[1][0] == "term" else None
-            if table:
-                groups.setdefault((x[0], table), []).append(x)
-        done = {id(x) for xs in groups.values() for x in xs}
-        return [self.star(*key, xs) for key, xs in groups.items()], [x for x in triples if id(x) not in done]
+            tables = self.mapped.tables_of(x[1][2], x[2]) if x[1][0] == "term" else set()
+            if tables:
+                groups.setdefault(x[0], []).append((x, tables))
+        out, done = [], set()
+        for subject, found in groups.items():
+            tables = set.intersection(*(t for _, t in found))
+            if tables:
+                patterns = [x for x, _ in found]
+                out.append(self.union([self.star(subject, t, patterns) for t in sorted(tables)]))
+                done |= {id(x) for x in patterns}
+        return out, [x for x in triples if id(x) not in done]
 
     def star(self, subject, table: str, triples) -> Relation:
         df = self.mapped.rows(table)
@@ -273,6 +281,8 @@ class Compiler:
 
     def group(self, node, graph=None, start: Relation | None = None) -> Relation:
         """start: the solutions that LATERAL hands in."""
+        if start is None:
+            start, self.start = self.start, None  # what the outermost group begins with
         out, filters = start, []
         for part in node[1]:
             kind = part[0]
@@ -376,6 +386,8 @@ class Compiler:
     def union(self, sides: list[Relation]) -> Relation:
         names = list(dict.fromkeys(v for r in sides for v in r.vars))
         dfs = [r.df.select(*(F.col(v) if v in r.vars else F.lit(None).cast(KIND).alias(v) for v in names)) for r in sides]
+        if len(sides) == 1:
+            return sides[0]
         return Relation(reduce(DataFrame.union, dfs), names, set.intersection(*(r.bound for r in sides)))
 
     def values(self, names, rows) -> Relation:
@@ -583,15 +595,15 @@ class Compiler:
         if name in ("IRI", "URI"):
             return Value("term", F.when(v[0].str().isNotNull(), term(1, v[0].str())))
         if name == "STRDT":
-            return Value("term", term(2, v[0].str(), v[1].str()))
+            return Value("term", F.when(v[0].str().isNotNull(), term(2, v[0].str(), v[1].str())))
         if name == "STRLANG":
-            return Value("term", term(2, v[0].str(), None, F.lower(v[1].str())))
+            return Value("term", F.when(v[0].str().isNotNull(), term(2, v[0].str(), None, F.lower(v[1].str()))))
         if name == "SAMETERM":
             return Value("bool", v[0].term() == v[1].term())
         if name.startswith(XSD):
             if name in NUMERIC:
                 return Value("num", v[0].str().try_cast("double"), name)
-            return Value("bool", v[0].str().try_cast("boolean")) if name == XSD + "boolean" else Value("term", term(2, v[0].str(), name))
+            return Value("bool", v[0].str().try_cast("boolean")) if name == XSD + "boolean" else Value("term", F.when(v[0].str().isNotNull(), term(2, v[0].str(), name)))
         raise SparqlError(f"unknown function {name}")
 
     # -- query forms
@@ -632,9 +644,13 @@ class Compiler:
         return rows.select(*columns, *([x["g"]["v"].alias("g")] if quads else [])).distinct()
 
 
-def query(triples: DataFrame | MappedTables, text: str) -> DataFrame:
-    """The solutions of a SELECT query (a struct column a variable), an ASK query's answer, or the triples of CONSTRUCT and DESCRIBE."""
-    return Compiler(triples).run(text)
+def query(triples: DataFrame | MappedTables, text: str, start: DataFrame | None = None) -> DataFrame:
+    """The solutions of a SELECT query (a struct column a variable), an ASK query's answer, or the triples of CONSTRUCT and DESCRIBE.
+    start: solutions that the outermost group begins with, a column of terms a variable."""
+    compiler = Compiler(triples)
+    if start is not None:
+        compiler.start = Relation(start, start.columns, set())
+    return compiler.run(text)
 
 
 def plain(df: DataFrame, numbers: tuple[str, ...] = ()) -> DataFrame:
