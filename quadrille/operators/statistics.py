@@ -119,3 +119,86 @@ def extensional_conciseness(t: DataFrame) -> DataFrame:
     """Share of subjects whose set of statements is theirs alone."""
     sets = t.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("p", "o"))).alias("x")).groupBy(F.xxhash64("x").alias("h")).agg(F.count("*").alias("n"))
     return sets.agg((F.sum(F.when(F.col("n") == 1, 1).otherwise(0)) / F.sum("n")).alias("extensional_conciseness"))
+
+
+#: What the text of a literal has to look like to be one of its datatype.
+LEXICAL = {
+    "boolean": r"true|false|0|1", "integer": r"[+-]?\d+", "int": r"[+-]?\d+", "long": r"[+-]?\d+", "short": r"[+-]?\d+", "byte": r"[+-]?\d+", "nonNegativeInteger": r"\+?\d+|-0+", "positiveInteger": r"\+?0*[1-9]\d*",
+    "decimal": r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)", "double": r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|[+-]?INF|NaN", "float": r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|[+-]?INF|NaN",
+    "date": r"-?\d{4,}-\d\d-\d\d(?:Z|[+-]\d\d:\d\d)?", "dateTime": r"-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?", "time": r"\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?",
+    "gYear": r"-?\d{4,}(?:Z|[+-]\d\d:\d\d)?", "anyURI": r"\S*", "hexBinary": r"(?:[0-9A-Fa-f]{2})*",
+}
+
+
+def _valid():
+    test = F.lit(True)
+    for name, pattern in LEXICAL.items():
+        test = F.when(F.col("dt") == XSD + name, F.col("o").rlike(f"^(?:{pattern})$")).otherwise(test)
+    return test
+
+
+def valid_literals(t: DataFrame) -> DataFrame:
+    """dt, valid, wrong: distinct literals that fit their datatype, and that don't."""
+    rows = t.where("t = 2 and dt is not null").select("o", "dt").distinct().withColumn("ok", _valid())
+    return rows.groupBy("dt").agg(F.count(F.when(F.col("ok"), 1)).alias("valid"), F.count(F.when(~F.col("ok"), 1)).alias("wrong"))
+
+
+def numeric_range(t: DataFrame, predicate: str, low: float, high: float) -> DataFrame:
+    """share: how many of a predicate's numeric values lie between low and high."""
+    v = F.expr("try_cast(o as double)")
+    rows = t.where((F.col("p") == predicate) & (F.col("t") == 2)).select(v.alias("v")).where("v is not null")
+    return rows.agg(F.count("*").alias("n"), (F.count(F.when((F.col("v") > low) & (F.col("v") < high), 1)) / F.count("*")).alias("share"))
+
+
+def property_completeness(t: DataFrame, kind: str, predicate: str) -> DataFrame:
+    """share: how many things of a class have a property."""
+    things = t.where((F.col("p") == TYPE) & (F.col("o") == kind)).select("s").distinct()
+    having = t.where(F.col("p") == predicate).select(F.col("s").alias("h")).distinct()
+    both = things.join(having, things.s == having.h, "left")
+    return both.agg(F.count("*").alias("things"), (F.count("h") / F.count("*")).alias("share"))
+
+
+def schema_completeness(t: DataFrame) -> DataFrame:
+    """share: how many of the classes and properties that the schema declares are used."""
+    kinds = [RDFS + "Class", OWL + "Class", RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty"]
+    declared = t.where((F.col("p") == TYPE) & F.col("o").isin(*kinds)).select(F.col("s").alias("x")).distinct()
+    used = t.select("p").union(t.where((F.col("p") == TYPE) & ~F.col("o").isin(*kinds)).select("o")).distinct().select(F.col("p").alias("u"))
+    return declared.join(used, declared.x == used.u, "left").agg(F.count("*").alias("declared"), (F.count("u") / F.count("*")).alias("share"))
+
+
+def dereferenceable(t: DataFrame, place: str, internal: str, alive) -> DataFrame:
+    """share: how many distinct internal IRIs of a place can be fetched.  alive: a function from a list of IRIs to booleans, called on the executors for batches."""
+    import pyarrow as pa
+
+    iris = t.where(F.col("t") == 1) if place == "o" else t
+    distinct = iris.select(F.col(place).alias("iri")).where(F.col("iri").startswith(internal)).distinct()
+
+    def work(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bool(x) for x in alive(b.column("iri").to_pylist())], pa.bool_())], names=["ok"])
+
+    return distinct.mapInArrow(work, "ok boolean").agg(F.count("*").alias("iris"), (F.count(F.when(F.col("ok"), 1)) / F.count("*")).alias("share"))
+
+
+VOID = "http://rdfs.org/ns/void#"
+
+
+def describe(t: DataFrame) -> DataFrame:
+    """criterion, key, n: the figures of a dataset's description in one frame of small ones."""
+    one = counts(t).select(F.explode(F.create_map(F.lit("triples"), F.col("triples"), F.lit("distinctSubjects"), F.col("distinct_subjects"), F.lit("distinctObjects"), F.col("distinct_objects"))).alias("criterion", "n"))
+    frames = [one.select("criterion", F.lit(None).cast("string").alias("key"), "n"), distinct_entities(t).select(F.lit("entities").alias("criterion"), F.lit(None).cast("string").alias("key"), F.col("entities").alias("n"))]
+    for name, df, key in (("classPartition", used_classes(t), "class"), ("propertyPartition", property_usage(t), "property"), ("vocabulary", vocabularies(t, "p"), "ns"), ("datatype", datatypes(t), "dt")):
+        frames.append(df.select(F.lit(name).alias("criterion"), F.col(key).alias("key"), "n"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def void_description(t: DataFrame, dataset: str) -> DataFrame:
+    """The same as lines of Turtle about a dataset."""
+    c, key, n = F.col("criterion"), F.col("key"), F.col("n").cast("string")
+    head = f"<{dataset}> <{VOID}"
+    part = lambda kind, of: F.concat(F.lit(f"{head}{kind}> [ <{VOID}{of}> <"), key, F.lit(f"> ; <{VOID}{'entities' if of == 'class' else 'triples'}> "), n, F.lit(" ] ."))
+    line = F.when(c == "classPartition", part("classPartition", "class")).when(c == "propertyPartition", part("propertyPartition", "property")).when(c == "vocabulary", F.concat(F.lit(f"{head}vocabulary> <"), key, F.lit("> .")))
+    return describe(t).where("criterion <> 'datatype'").select(line.otherwise(F.concat(F.lit(head), c, F.lit("> "), n, F.lit(" ."))).alias("value"))
