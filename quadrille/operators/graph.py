@@ -68,8 +68,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
     ranks = nodes.withColumn("rank", F.lit(1.0))
     for _ in range(rounds):
-        given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("out")).alias("sum"))
-        ranks = cut(nodes.join(given, nodes.node == given.to, "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("sum", F.lit(0.0))).alias("rank")))
+        given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("into")).agg(F.sum(F.col("rank") / F.col("out")).alias("sum"))
+        ranks = cut(nodes.join(given, nodes.node == given.into, "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("sum", F.lit(0.0))).alias("rank")))
     return ranks
 
 
