@@ -6,6 +6,7 @@ anywhere.  Reading parses the markers, takes out stuffed bytes, Huffman-decodes
 the luminance thumbnail from DC coefficients alone.
 
 The reader takes any baseline sequential JPEG of one interleaved scan.  Null and empty texts: one block of zeros.  Equal texts give equal bytes.
+Very long texts: up to 8191 by 8191 blocks (4 GB), an error beyond.  An empty table: no rows.  Repeated rows and extra columns pass through; a column named as a result is replaced.
 """
 
 import hashlib

@@ -10,6 +10,7 @@ a paragraph without either is only passed over if it shares too few word pairs w
 
 Scoring is a projection: no rows are exploded, joined or shuffled, so repeated rows, hot lines and extra columns need no care.  The model (a few thousand
 n-grams, whatever the input) is a literal of the plan.  Null and empty texts, and texts without candidates: no findings, licence null.  Ties: the family that sorts last.
+Very long texts: one array of lines each.  An empty table: no rows.  A column named as the result is replaced.
 """
 
 import functools

@@ -10,7 +10,8 @@ Members that no leader of theirs is linked to then meet those others of the buck
 similarity at all: an exact bound, no cap.
 
 Null texts and texts without a word: a class each of their own.  Shorter texts than five words: one shingle.  Ties between leaders: the smaller id.  Rows that repeat
-an id and text fall together.  Shingles are compared by 32-bit hashes.
+an id and text fall together.  Shingles are compared by 32-bit hashes.  Null ids are in no class.  An empty table: no rows.  Very long texts: linear work, ten numbers a word at a time.
+Extra columns, whatever their names, are ignored.
 """
 
 import numpy as np

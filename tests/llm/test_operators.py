@@ -383,3 +383,90 @@ def test_mixing(spark):
 def test_clashing_columns(spark):
     wide = docs(spark).withColumns({"copies": F.lit(1), "level": F.lit(2), "quality": F.lit(3), "language": F.lit(4), "size": F.lit(5)})
     assert mixing.mix(wide).columns == wide.columns
+
+
+def test_empty_tables_and_clashing_names(spark):
+    """No operator minds an empty table, repeated rows, or columns of any name; a column named as a result is replaced."""
+    names = ["ids", "decoded", "media", "features", "tokens", "findings", "language", "quality", "level", "copy", "place", "size", "class_id", "kept_id", "s", "key", "bands", "marked", "bucket"]
+    wide = docs(spark, [*ODD, *ODD[:3]]).withColumns({n: F.lit(1) for n in names})
+    crf = language_id.train([("the cat. ", "en"), ("der hund. ", "de")])
+    model = quality.Model(quality.Forest(np.ones((2, len(quality.RATIOS)))), 0.5)
+    runs = [
+        lambda d: sentencepiece_codec.decode(sentencepiece_codec.encode(d)),
+        lambda d: jpeg_media.features(jpeg_media.store(d)),
+        token_counts.token_counts,
+        licences.scan,
+        lambda d: language_id.identify(d, crf),
+        lambda d: quality.judge(d, model),
+        lambda d: html_text.extract(d, "text", "page", {"word": 1.0}),
+        near_dup.classes,
+        mixing.plan_mix,
+    ]
+    for run in runs:
+        assert run(wide).count() == wide.count() and run(wide.limit(0)).count() == 0
+    assert html_text.fit(spark.createDataFrame([], "page_id long, html string"))["word"] > 0
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def run_query(spark, name):
+    import __spark_entry__
+
+    return __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_op1_query(spark, corpus):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_codec.MODEL))
+    got = run_query(spark, "op1_sentencepiece")
+    assert len(got) == len(corpus) and all(list(r.ids) == sp.encode(corpus[r.doc_id].text or "") and r.n_tokens == len(r.ids) and r.round_trip for r in got)
+
+
+def test_op3_query(spark, corpus):
+    for r in run_query(spark, "op3_media"):
+        raw = (corpus[r.doc_id].text or "").encode()
+        want = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+
+
+def test_op4_query(spark, corpus):
+    import tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path(token_counts.MODEL))
+    for r in run_query(spark, "op4_token_counts"):
+        n = len(lib.encode(corpus[r.doc_id].text or "", add_special_tokens=False).ids)
+        assert (r.n_tokens, r.over_limit) == (n, n > 2048) and (r.chars_in_limit > 0) == (n > 0)
+
+
+def test_op7_op8_queries(spark, corpus):
+    got = {r.doc_id: r for r in run_query(spark, "op7_language")}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
+    known = [k for k, r in got.items() if r.held_out and corpus[k].lang]
+    assert sum(got[k].lang_pred == corpus[k].lang for k in known) >= 0.9 * len(known)
+    for r in run_query(spark, "op8_quality"):
+        s = brute_statistics(corpus[r.doc_id].text) if len(corpus[r.doc_id].text or "") < 3000 else (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == s and r.base_failed == (s[0] < 50 or 100 * s[4] > 50 * s[0]) and not (r.base_failed and r.kept)
+
+
+def test_pipeline_equals_its_operators(spark, corpus):
+    """The stages by plain Python over what each operator says of its own input."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    where = "/root/testdata/sf0.001"
+    all_docs = spark.read.parquet(f"{where}/documents.parquet")
+    judged = {r.doc_id: r.quality.kept for r in quality.judge(all_docs, quality.fit(all_docs, spark.read.parquet(f"{where}/labels.parquet"))).collect()}
+    kept = all_docs.where(F.col("doc_id").isin([k for k, v in judged.items() if v]))
+    known = {r.doc_id: r.language for r in language_id.identify(kept, language_id.fit(all_docs)).collect()}
+    kept = kept.where(F.col("doc_id").isin([k for k, v in known.items() if v.lang_pred != "und" and v.score >= language_id.MIN_SCORE]))
+    kept = kept.where(F.col("doc_id").isin([r.doc_id for r in near_dup.classes(kept).collect() if r.doc_id == r.class_id]))
+    copies = {r.doc_id: r.copies for r in mixing.plan_mix(kept).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_codec.MODEL))
+    want = collections.Counter({(k, tuple(sp.encode(corpus[k].text))): n for k, n in copies.items() if n})
+    got = collections.Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, where).collect())
+    assert got == want and len(corpus_pipeline.STAGES) == 5
