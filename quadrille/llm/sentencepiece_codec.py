@@ -48,7 +48,7 @@ class Codec:
         if min(order[p] for p in order if not p.strip(" ")) < max(order[p] for p in order if p.strip(" ")):
             raise ValueError("pieces of spaces must merge last")
         self.spaces = Memo(self.run, 1 << 10)
-        self.units = Memo(self.unit, 3 << 17, longest=48)
+        self.units = Memo(self.unit, 1 << 18, longest=48)
         self.parts = Memo(self.part, 1 << 17, longest=48)
         self.split = re.compile(r" *[^ \n]+| +|\n").findall
         self.boundary = re.compile(r"(?<=[^ ]) |\n").search
