@@ -16,7 +16,7 @@ from .operators import algebra
 from .plans.sparql import plain, query
 from .sources import documents, mapping, tabular, writers
 
-PREFIX_LINES = r"(?im)^\s*@?prefix\s+([\w-]*):\s*<([^>]*)>"
+PREFIX_LINES = r"(?i)(?<!\S)@?prefix\s+([\w-]*):\s*<([^>]*)>"
 
 
 def load(spark: SparkSession, paths: list[str], lang: str | None = None) -> DataFrame:
