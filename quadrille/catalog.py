@@ -37,7 +37,7 @@ SPARQL = {
     "sparql_distinct": (["customer"], "SELECT DISTINCT ?n ?m WHERE { ?c <urn:customer#c_nationkey> ?n ; <urn:customer#c_mktsegment> ?m }", (), "SELECT DISTINCT 'urn:nation:' || c_nationkey AS n, c_mktsegment AS m FROM customer"),
     "sparql_reduced": (["orders"], "SELECT REDUCED ?p WHERE { ?o <urn:orders#o_orderpriority> ?p }", (), "SELECT DISTINCT o_orderpriority AS p FROM orders"),
     "sparql_offset": (["orders"], "SELECT ?o ?t WHERE { ?o <urn:orders#o_totalprice> ?t } ORDER BY ?t ?o OFFSET 15 LIMIT 25", ("t",), "SELECT 'urn:orders:' || o_orderkey AS o, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS t FROM orders ORDER BY t, o LIMIT 25 OFFSET 15"),
-    "sparql_avg_sum": (["orders"], "SELECT ?p (SUM(?t) AS ?s) (AVG(?t) AS ?a) (MIN(?t) AS ?m) WHERE { ?o <urn:orders#o_orderpriority> ?p ; <urn:orders#o_totalprice> ?t } GROUP BY ?p", ("s", "a", "m"), "SELECT o_orderpriority AS p, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,12)) / count(*) AS DOUBLE) AS a, CAST(min(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS m FROM orders GROUP BY 1"),
+    "sparql_avg_sum": (["orders"], "SELECT ?p (SUM(?t) AS ?s) (ROUND(AVG(?t) * 100) / 100 AS ?a) (MIN(?t) AS ?m) WHERE { ?o <urn:orders#o_orderpriority> ?p ; <urn:orders#o_totalprice> ?t } GROUP BY ?p", ("s", "a", "m"), "SELECT o_orderpriority AS p, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, floor(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100 + 0.5) / 100 AS a, CAST(min(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS m FROM orders GROUP BY 1"),
     "sparql_sum_integers": (["part"], "SELECT ?b (SUM(?z) AS ?s) (SUM(DISTINCT ?z) AS ?d) (COUNT(DISTINCT ?z) AS ?n) WHERE { ?p <urn:part#p_brand> ?b ; <urn:part#p_size> ?z } GROUP BY ?b", (), "SELECT p_brand AS b, CAST(sum(p_size) AS VARCHAR) AS s, CAST(sum(DISTINCT p_size) AS VARCHAR) AS d, CAST(count(DISTINCT p_size) AS VARCHAR) AS n FROM part GROUP BY 1"),
     "sparql_group_concat": (["nation"], "SELECT ?r (GROUP_CONCAT(DISTINCT ?v; SEPARATOR=',') AS ?all) WHERE { ?n <urn:nation#n_regionkey> ?r ; <urn:nation#n_name> ?v } GROUP BY ?r", (), "SELECT 'urn:region:' || n_regionkey AS r, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS \"all\" FROM nation GROUP BY n_regionkey"),
     "sparql_group_by_expression": (["customer"], "SELECT ?k (COUNT(*) AS ?n) WHERE { ?c <urn:customer#c_mktsegment> ?m } GROUP BY (SUBSTR(?m, 1, 1) AS ?k)", ("n",), "SELECT substr(c_mktsegment, 1, 1) AS k, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY 1"),
