@@ -1,5 +1,7 @@
 """Shared plumbing: tables, the shared checkpoint folder, and Arrow UDFs over whole texts."""
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -57,6 +59,35 @@ def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
+#: What empties the stores that modules keep between tasks of a worker process, and the module whose UDF ran last in this one.
+_stores: list[Callable[[], None]] = []
+_last = ""
+
+
+def keeps(clear: Callable[[], None]) -> None:
+    """clear is called in a worker process before a UDF of another module runs there: workers are reused, and what one stage keeps is no use to the next."""
+    _stores.append(clear)
+
+
+def _begin(module: str) -> None:
+    global _last
+    if _last and _last != module:
+        for clear in _stores:
+            clear()
+        gc.unfreeze()
+        gc.collect()
+    _last = module
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system; an idle worker would hold it beside the one that works next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType]], limit: int = SLICE_BYTES):
     """An Arrow UDF from a column to a struct.  make() runs once a task and returns a function from an Arrow array to the struct's columns.
 
@@ -65,6 +96,7 @@ def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType
     kind = pa.struct([pa.field(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _begin(make.__module__)
         work = make()
         for arr in batches:
             parts = []
@@ -72,6 +104,8 @@ def struct_udf(make: Callable[[], Callable], fields: list[tuple[str, pa.DataType
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(work(piece), fields, strict=True)]
                 parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+        del work
+        _give_back()
 
     return F.arrow_udf(run, returnType=from_arrow_type(kind)).asNondeterministic()
 

@@ -2,14 +2,14 @@
 
 Words of a text are labelled with languages.  A word's features are its affixes, character n-grams and the word itself if the lexicon of the training
 rows holds it; transitions between the labels of neighbouring words are learned with them, on real rows and on rows spliced from two languages.
-Sentences are the chains: forward-backward gives each word's marginals, all sentences of a batch advancing together in numpy.  A text's language is that
+Sentences are the chains: forward-backward gives each word's marginals, many sentences advancing together in numpy.  A text's language is that
 of the highest mean marginal over its letters, which is also the score.
 
 A word of more than LONGEST letters is taken in consecutive pieces of the same chain, so that all of it counts.  Training rows of over ROW_CHARS characters give a
 span of so many, at a place that their id's hash picks.
 
 Null texts, texts without a letter (numerals such as ½ or Ⅷ are none) and empty tables of labelled rows: und, score 0.  Ties go to the language that sorts first.  Very
-long texts: linear work on one batch's words at a time.  Repeated rows and extra columns pass through; a column named as the result is replaced.  Languages
+long texts: linear work on WORDS_AT_ONCE words at a time, a sentence whole.  Repeated rows and extra columns pass through; a column named as the result is replaced.  Languages
 are taken to be few: their names, and weights for each, are held by the driver and every task.
 """
 
@@ -41,6 +41,8 @@ MIN_SCORE = 0.5
 
 #: Letters of a word, or of a piece of one, at most.
 LONGEST = 24
+#: Chains are worked on together until they have so many words: a worker holds some ten numbers a word and language.
+WORDS_AT_ONCE = 1 << 17
 
 RUNS = re.compile(r"[^\W\d_]+").findall
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -201,33 +203,40 @@ class Labeller:
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.crf.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
+        sums, weight = np.zeros((len(texts), len(self.crf.languages))), np.zeros(len(texts))
         words: list[str] = []
-        lengths, counts = [], []
-        for t in texts:
-            before = len(words)
+        lengths, of = [], []
+        for k, t in enumerate(texts):
             for sentence in SENTENCES.split(t or ""):
                 if ws := WORDS(sentence):
                     words += ws
                     lengths.append(len(ws))
-            counts.append(len(words) - before)
-        if not words:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        emit = self.table[r] if (r := self.rows(words)) is not None else None
-        marginals, _ = forward_backward(emit, np.array(lengths), self.crf.jump, self.crf.start)
-        letters = np.fromiter(map(len, words), np.float64, len(words))
-        sums = np.concatenate([np.zeros((1, emit.shape[1])), np.cumsum(marginals * letters[:, None], axis=0)])
-        weight = np.concatenate([[0.0], np.cumsum(letters)])
-        end = np.cumsum(counts)
+                    of.append(k)
+                    if len(words) >= WORDS_AT_ONCE:
+                        self.add(words, lengths, of, sums, weight)
+                        words, lengths, of = [], [], []
+        if words:
+            self.add(words, lengths, of, sums, weight)
         out = []
-        for a, b in zip(end - counts, end):
-            if a == b:
+        for total, letters in zip(sums, weight):
+            if not letters:
                 out.append((UNKNOWN, 0.0))
                 continue
-            mean = (sums[b] - sums[a]) / (weight[b] - weight[a])
+            mean = total / letters
             best = int(mean.argmax())
             out.append((self.crf.languages[best], float(min(1.0, max(0.0, mean[best])))))
         return out
 
+    def add(self, words: list[str], lengths: list[int], of: list[int], sums: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the marginals of whole chains (lengths, laid end to end in words), weighted by letters, to the sums of the texts that they are of."""
+        at = self.rows(words)  # which may replace the table
+        marginals, _ = forward_backward(self.table[at], np.array(lengths), self.crf.jump, self.crf.start)
+        letters = np.fromiter(map(len, words), np.float64, len(words))
+        marginals *= letters[:, None]
+        begin = np.cumsum(lengths) - lengths
+        np.add.at(sums, of, np.add.reduceat(marginals, begin, axis=0))
+        np.add.at(weight, of, np.add.reduceat(letters, begin))
+
 
 def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, Memo
-from .common import free_name, struct_udf, table
+from .common import free_name, keeps, struct_udf, table
 
 MODEL = "piece_bpe_32k.model"
 #: Characters after which a chunk ends at its next boundary.
@@ -114,6 +114,9 @@ def codec_of(path: str) -> Codec:
     return made
 
 
+keeps(codec_of.cache_clear)
+
+
 def _encoder(path: str):
     def make():
         packed = codec_of(path).packed

@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import html_text, jpeg_media, language_id, licences, mixing, near_dup, quality, sentencepiece_codec, token_counts, warc
+from quadrille.llm import common, html_text, jpeg_media, language_id, licences, mixing, near_dup, quality, sentencepiece_codec, token_counts, warc
 
 ODD = [None, "", " ", "a", "a\n\nb  c", "x" * 5000, " " * 700 + "y", "é日本語😀 ΣİŒ", "<|endoftext|> hi <|STARTOFTEXT|>", "the " * 3000, "a▁b"]
 SCHEMA = "doc_id long, text string, source string, lang string"
@@ -252,6 +253,33 @@ def test_language_of_long_words_and_numerals(spark):
     assert got == {"the cat": "en", "der hund": "de"}
 
 
+def test_language_of_many_words_takes_them_in_parts(monkeypatch):
+    """However many words a batch has, so many are worked on at a time; the answers stay."""
+    crf = language_id.train([("The cat sat on the mat. A dog barks. ", "en"), ("Der Hund bellt. Die Katze schläft. ", "de")] * 20)
+    texts = ["The dog sat. Der Hund bellt laut.\n" * 40, None, "", "Die Katze. " * 90, "42", "A cat " * 60]
+    want = language_id.Labeller(crf).label(texts)
+    seen = []
+    one = language_id.forward_backward
+    monkeypatch.setattr(language_id, "forward_backward", lambda emit, *a: (seen.append(len(emit)), one(emit, *a))[1])
+    monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 50)
+    got = language_id.Labeller(crf, words=8).label(texts)
+    assert [g[0] for g in got] == [w[0] for w in want] == ["de", "und", "und", "de", "und", "en"]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want]) and len(seen) > 5 and max(seen[:-1]) < 60 and seen[-1] < 50 + 120  # a sentence is whole
+
+
+def test_workers_drop_what_another_operator_kept(spark):
+    """A worker that has encoded doesn't hold the codec while the next operator runs in it."""
+    wide = docs(spark, fuzz(64)).repartition(8)
+    assert sentencepiece_codec.encode(wide).where("size(ids) > 0").count()
+
+    def make():
+        held = sentencepiece_codec.codec_of.cache_info().currsize
+        return lambda texts: [[held] * len(texts)]
+
+    held = common.struct_udf(make, [("held", pa.int64())])
+    assert wide.select(held("text")["held"].alias("held")).agg(F.max("held")).first()[0] == 0
+
+
 def test_forest_paths_equal_recursion():
     rng = np.random.default_rng(4)
     rows = rng.normal(size=(60, 4))
