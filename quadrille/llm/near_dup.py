@@ -6,8 +6,8 @@ bucket texts are compared with leaders, not with each other, and a pair counts i
 the connected components of such links.
 
 Copies of a text count once.  Leaders are the texts that stand in the largest buckets, so the text that others are variants of leads.
-Members that no leader of theirs is linked to then meet those others of the bucket whose size, and number of shingles that any other text holds, allow the
-similarity at all: an exact bound, no cap.
+Texts that are then still in different classes meet, in any bucket, where their sizes and their rarest shingles allow the similarity at all (prefix and position filter):
+an exact bound, no cap.
 
 Null texts and texts without a word: a class each of their own.  Shorter texts than five words: one shingle.  Ties between leaders: the smaller id.  Rows that repeat
 an id and text fall together.  Shingles are compared by 32-bit hashes.  Null ids are in no class.  An empty table: no rows.  Very long texts: linear work, ten numbers a word at a time.
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import re
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo
@@ -29,6 +29,10 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 REGISTERS = BANDS * ROWS
+#: Sizes of a class differ by this factor at most.
+WIDTH = 1.05
+#: Bounds are widened by this, so that rounding never excludes a pair.
+SLACK = 1e-3
 #: Bytes of text whose shingles a worker holds at a time: some ten 64-bit numbers a word, besides the words themselves.
 SLICE_BYTES = 1 << 20
 
@@ -158,27 +162,47 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return two.select("member", "leader", "both", (F.col("both") >= F.lit(similarity) * (F.col("sizes") - F.col("both"))).alias("linked"))
 
 
-def possible(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (member, leader) of a bucket, one of them left over, that can reach the similarity.  met: bucket, member, both (shingles it shares with the bucket's leader), left.
+def size_class(n):
+    return F.floor(F.log(n) / F.log(F.lit(WIDTH)) + 1e-9).cast("int")
 
-    Shingles that no other text of all involved holds can't be shared.  With o shingles left to share, a text of n reaches texts of o * (1 + 1 / s) - n shingles at
-    most and s * n at least: so bucket and size class are joined on.  Two texts share at most the smaller part of the leader's shingles and the smaller of
-    the rest, which is tested before a pair comes out.
-    """
-    shingle = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"))
-    solo = stored(shingle.where("texts = 1").groupBy("id").agg(F.count("*").alias("solo")), "solo").withColumnRenamed("id", "of")
-    share = sets.select("id", F.size("shingles").alias("n")).join(solo, F.col("id") == F.col("of"), "left").withColumn("o", F.col("n") - F.coalesce("solo", F.lit(0)))
-    share = stored(share.select("id", "n", "o", (F.col("o") * (1 + 1 / similarity) - F.col("n")).alias("most")).where(F.col("o") >= F.lit(similarity) * F.col("n")), "share")
 
-    def size_class(n):
-        return F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
+def possible(sets: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (member, leader) of texts of different classes, so far, that can reach the similarity.  of: node, class; who is in none is a class.
 
-    both = met.join(share, F.col("member") == F.col("id"))
-    xs = both.where("left").select("bucket", F.col("member").alias("leader"), F.col("n").alias("ln"), F.col("o").alias("lo"), F.col("both").alias("lboth"), F.explode(F.sequence(size_class(F.ceil(F.lit(similarity) * F.col("n") - 1e-9)), size_class(F.col("most") + 1e-9))).alias("class"))
-    ys = both.select(F.col("bucket").alias("b"), "member", "n", "o", "both", size_class(F.col("n")).alias("c"))
-    o = F.least("o", "lo", F.least("both", "lboth") + F.least(F.col("o") - F.col("both"), F.col("lo") - F.col("lboth")))  # least skips nulls: pairs that were never compared
-    fits = (F.col("member") != F.col("leader")) & (o >= F.lit(similarity) * (F.col("n") + F.col("ln") - o))
-    return stored(xs.join(ys, (F.col("bucket") == F.col("b")) & (F.col("class") == F.col("c")) & fits).select(F.greatest("member", "leader").alias("member"), F.least("member", "leader").alias("leader")).distinct(), "possible")
+    Shingles are ordered, rare ones first.  Texts of n and m shingles that share t = (n + m) * s / (1 + s) of them, as they must, have their first common one among the
+    first n - t + 1 and m - t + 1: so texts are joined on those, for each pair of size classes.  Where a shingle's texts are mostly of one class, those don't meet each other.
+    """
+    part = similarity / (1 + similarity)
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    texts = each.groupBy("shingle", F.lit(0).alias("_")).agg(F.count("*").alias("texts")).select(F.col("shingle").alias("s"), "texts")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("texts", "shingle"))
+    first = each.join(texts, F.col("shingle") == F.col("s")).withColumn("place", place).where((F.col("texts") > 1) & (F.col("place") <= (1 - similarity) * F.col("n") + 1 + SLACK))
+    first = stored(first.select("id", "n", "shingle", "place"), "first")
+    size = of.groupBy("class").agg(F.count("*").alias("members")).withColumnRenamed("class", "c")
+    named = stored(of.join(size, F.col("class") == F.col("c")).select("node", "class", "members"), "named")
+    first = first.join(named, F.col("id") == F.col("node"), "left").select("id", "n", "shingle", "place", F.coalesce("class", "id").alias("class"), F.coalesce("members", F.lit(1)).alias("members"))
+    first = first.withColumn("own", size_class(F.col("n")))
+
+    def role(low, high, larger, smaller):
+        rows = first.withColumn("other", F.explode(F.sequence(low, high)))
+        least = F.greatest(F.pow(F.lit(WIDTH), F.col("other")) - SLACK, F.col("n") * F.lit(similarity))
+        rows = rows.where(F.col("place") <= F.col("n") - part * (F.col("n") + least) + 1 + SLACK)
+        return rows.select("id", "n", "shingle", "place", "class", "members", F.col(larger).alias("larger"), F.col(smaller).alias("smaller"))
+
+    above = role(size_class(F.greatest(F.lit(similarity) * F.col("n") - 1e-6, F.lit(1))), F.col("own"), "own", "other")
+    below = role(F.col("own"), size_class(F.col("n") / similarity + 1e-6), "other", "own")
+    key = ["shingle", "larger", "smaller"]
+    groups = above.unionByName(below).groupBy(*key, F.lit(0).alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("members", "class")).alias("big")).where("low <> high")
+    groups = stored(groups.select(F.xxhash64(*key).alias("g"), F.col("big.class").alias("big")), "groups")
+
+    def met(rows):
+        return rows.withColumn("group", F.xxhash64(*key)).join(groups, F.col("group") == F.col("g")).select("group", "id", "n", "place", "class", (F.col("class") == F.col("big")).alias("big"))
+
+    xs, ys = stored(met(above), "above"), stored(met(below), "below").withColumnsRenamed({"group": "h", "id": "j", "n": "m", "place": "at", "class": "d", "big": "most"})
+    fits = (F.col("class") != F.col("d")) & (1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= part * (F.col("n") + F.col("m")) - SLACK)
+    on = (F.col("group") == F.col("h")) & fits
+    pairs = xs.where("not big").join(ys, on).select("id", "j").unionByName(xs.where("big").join(ys.where("not most"), on).select("id", "j"))
+    return stored(pairs.select(F.greatest("id", "j").alias("member"), F.least("id", "j").alias("leader")).distinct(), "possible")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -204,14 +228,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     tried = stored(compared(met.where(size_ok).select("member", "leader").distinct(), sets, similarity), "compared")
     links = tried.where("linked")
 
-    # Second: those of a bucket that its leader is not linked to meet the others that can be similar enough at all.
-    known = met.join(tried.select(F.col("member").alias("m"), F.col("leader").alias("l"), "both", "linked"), (F.col("member") == F.col("m")) & (F.col("leader") == F.col("l")), "left")
-    leads = F.col("member") == F.col("leader")
-    known = stored(known.select("bucket", "member", F.when(leads, F.col("n")).otherwise(F.col("both")).alias("both"), (~leads & ~F.coalesce("linked", F.lit(False))).alias("left")), "met")
-    if not known.where("left").isEmpty():
-        links = links.unionByName(stored(compared(possible(known, sets, similarity), sets, similarity), "compared").where("linked"))
-
+    # Second: those that are still in different classes, wherever they can be similar enough at all.
     of = components(links.select(F.col("member").alias("a"), F.col("leader").alias("b")))
+    more = stored(compared(possible(sets, of, similarity), sets, similarity), "compared").where("linked")
+    of = components(more.select(F.col("member").alias("a"), F.col("leader").alias("b")).unionByName(of.select(F.col("node").alias("a"), F.col("class").alias("b"))))
     named = stored(unique.join(of, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("class", "rep").alias("class_id")), "classes")
     return rows.select("id", "key").join(named, F.col("key") == F.col("k"), "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 

@@ -379,6 +379,36 @@ def test_near_dup_equals_brute_force(spark):
     assert near_dup.classes(docs(spark).limit(0)).count() == 0
 
 
+def test_near_dup_versions_of_variants(spark, monkeypatch):
+    """Variants of a text that differ too much from it, in versions that differ little: only those that share more than the text are compared."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)]
+    for f in range(30):
+        words = list(base)
+        for k in rng.sample(range(5, 190, 7), 5):
+            words[k] = f"f{f}x{k}"
+        for v in range(12):
+            copy = list(words)
+            copy[rng.randrange(200)] = f"v{rng.randint(0, 30)}"
+            texts.append(" ".join(copy[: rng.choice([200, 200, 185, 170])]))
+    for _ in range(40):  # cuts of the text, at both ends: some share nothing that it lacks
+        texts.append(" ".join(base[rng.randint(0, 30) : rng.randint(160, 200)] + [f"z{rng.randint(0, 9)}"] * rng.randint(0, 1)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(near_dup.WORDS, texts)]
+    top = list(range(len(texts)))
+    for _ in range(3):
+        for a in range(len(sets)):
+            for b in range(a):
+                if top[a] != top[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    top = [min(top[a], top[b]) if t in (top[a], top[b]) else t for t in top]
+    tried = []
+    compared = near_dup.compared
+    monkeypatch.setattr(near_dup, "compared", lambda pairs, *rest: (tried.append(pairs.count()), compared(pairs, *rest))[1])
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(top)) and len(set(top)) > 10
+    assert sum(tried) < 20_000  # of 80,000 pairs
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]
