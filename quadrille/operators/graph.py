@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut
+from .pairs import pairs, shares
 
 
 def find(t: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -81,13 +82,12 @@ def features(t: DataFrame, mode: str = "at") -> DataFrame:
 
 
 def similarity(a: DataFrame, b: DataFrame, measure: str = "jaccard", threshold: float = 0.0) -> DataFrame:
-    """Pairs of entities that share a feature, with a set similarity: jaccard, dice, simpson, ochiai, braun_blanquet or tversky.  The join is on features, so unlike pairs never meet."""
-    x = a.select(F.col("entity").alias("left"), F.size("features").alias("n"), F.explode("features").alias("f"))
-    y = b.select(F.col("entity").alias("right"), F.size("features").alias("m"), F.explode("features").alias("f"))
-    both = x.join(y, "f").where("left < right").groupBy("left", "right", "n", "m").agg(F.count("*").alias("c"))
-    n, m, c = F.col("n"), F.col("m"), F.col("c")
-    value = {"jaccard": c / (n + m - c), "dice": 2 * c / (n + m), "simpson": c / F.least(n, m), "ochiai": c / F.sqrt(n * m), "braun_blanquet": c / F.greatest(n, m), "tversky": c / (c + 0.5 * (n - c) + 0.5 * (m - c))}[measure]
-    return both.select("left", "right", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs of entities that share a feature, with a set similarity: jaccard, dice, simpson, ochiai, braun_blanquet or tversky.  Equal sets are one, and meet on their rarest features alone."""
+
+    def value(n: Column, m: Column, c: Column) -> Column:
+        return {"jaccard": c / (n + m - c), "dice": 2 * c / (n + m), "simpson": c / F.least(n, m), "ochiai": c / F.sqrt(n * m), "braun_blanquet": c / F.greatest(n, m), "tversky": c / (c + 0.5 * (n - c) + 0.5 * (m - c))}[measure]
+
+    return pairs(a, b, value, lambda v: v >= threshold, shares(measure, threshold)).withColumnRenamed("value", "similarity")
 
 
 def outliers(t: DataFrame, method: str = "iqr", factor: float = 1.5) -> DataFrame:

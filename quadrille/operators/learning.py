@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..model import NUMERIC, TYPE, XSD
 from ..plans.sparql import query
 from .graph import outliers
+from .pairs import pairs, shares
 
 #: A text feature with fewer distinct values a row than this is a category.
 CATEGORY_SHARE = 0.1
@@ -42,30 +43,11 @@ def _value(measure: str, n: Column, m: Column, c: Column, alpha: float, beta: fl
 def similar(a: DataFrame, b: DataFrame | None = None, measure: str = "jaccard", threshold: float = 0.0, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
     """left, right, value: pairs of entities that share a feature and reach the threshold (for batet, a distance: lie within it, if it is above 0).  Without b, pairs inside a.
 
-    Where the measure and threshold bound how many features two sets must share, only the rarest features of each meet: of n features, a set that shares o needs just
-    n - o + 1 of them to meet its partners, so features that many entities share join nothing."""
-    self_join = b is None
-    b = a if b is None else b
-    bound = {"jaccard": threshold, "dice": threshold / (2 - threshold), "braun_blanquet": threshold, "ochiai": threshold**2}.get(measure, 0.0)
-    x = a.select(F.col("entity").alias("left"), F.size("features").alias("n"), F.col("features").alias("x"))
-    y = b.select(F.col("entity").alias("right"), F.size("features").alias("m"), F.col("features").alias("y"))
-    often = a.select(F.explode("features").alias("f")).unionByName(b.select(F.explode("features").alias("f"))).groupBy("f").agg(F.count("*").alias("often"))
-
-    def keys(df: DataFrame, who: str, size: str, items: str) -> DataFrame:
-        rows = df.select(who, size, F.explode(items).alias("f"))
-        if bound <= 0:
-            return rows
-        place = F.row_number().over(Window.partitionBy(who).orderBy("often", "f"))
-        return rows.join(often, "f").withColumn("k", place).where(F.col("k") <= F.col(size) - F.ceil(F.col(size) * bound - 1e-9) + 1).select(who, size, "f")
-
-    near = keys(x, "left", "n", "x").join(keys(y, "right", "m", "y"), "f")
-    near = near.where("left < right" if self_join else "left <> right")
-    near = near.where((F.least("n", "m") >= F.greatest("n", "m") * bound - 1e-9)).select("left", "right").distinct()
-    both = near.join(x, "left").join(y, "right").select("left", "right", "n", "m", F.size(F.array_intersect("x", "y")).alias("c"))
-    out = both.select("left", "right", _value(measure, F.col("n"), F.col("m"), F.col("c"), alpha, beta).alias("value"))
-    if measure == "batet":
-        return out.where(F.col("value") <= threshold) if threshold > 0 else out
-    return out.where(F.col("value") >= threshold)
+    Equal sets are one.  Where the measure and threshold bound how many features two sets must share, only the rarest features of each meet: of n features, a set that
+    shares o needs just n - o + 1 of them to meet its partners, so features that many sets share join nothing."""
+    within = measure == "batet"
+    keep = lambda v: F.lit(True) if within and threshold <= 0 else v <= threshold if within else v >= threshold
+    return pairs(a, b, lambda n, m, c: _value(measure, n, m, c, alpha, beta), keep, shares(measure, threshold, alpha, beta), ordered=b is None)
 
 
 def nearest(a: DataFrame, key: list[str], k: int, measure: str = "jaccard", alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
