@@ -23,6 +23,8 @@ KIND = "struct<t:int,v:string,dt:string,lang:string>"
 WIDTHS = ["integer", "decimal", "float", "double"]
 #: Rows up to which SERVICE <...broadcastJoin> sends its side to all tasks.
 BROADCAST_ROWS = 100_000
+#: Shared variables that may be unbound, up to which an optional part is split by which of them are.
+SPLIT = 2
 MOMENT = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d\d:\d\d)?$"
 
 
@@ -259,6 +261,17 @@ class Compiler:
             joined = reduce(DataFrame.unionByName, parts)
         elif not shared and how == "inner" and condition is None:
             joined = left.crossJoin(right)
+        elif how == "left" and loose and len(loose) <= SPLIT and all(v in b.bound for v in shared):
+            # Each way of being unbound meets by equality of the variables that are bound; where none is, every solution of the right side goes with it.
+            parts = []
+            for unbound in ({v for k, v in enumerate(loose) if way >> k & 1} for way in range(1 << len(loose))):
+                some = left.where(reduce(lambda x, y: x & y, (left[v].isNull() if v in unbound else left[v].isNotNull() for v in loose)))
+                tests = [some[v] == right[renamed[v]] for v in shared if v not in unbound] + ([condition(some, right, renamed)] if condition is not None else [])
+                if tests:
+                    parts.append(some.join(right, reduce(lambda x, y: x & y, tests), "left"))
+                else:
+                    parts += [some.crossJoin(right), some.join(right.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti")]
+            joined = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
         else:
             joined = left.join(right, reduce(lambda x, y: x & y, tests) if tests else F.lit(True), how)
         columns = [F.coalesce(F.col(v), F.col(renamed[v])).alias(v) if v in shared and v not in a.bound else F.col(v) for v in a.vars]

@@ -85,3 +85,18 @@ def test_mapped_tables_scan_once(spark):
     plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("FileScan") == 1 and "EqualTo(c_nationkey,3)" in plan and "EqualTo(c_mktsegment,BU" in plan and "Explode" not in plan and "generate" not in plan.lower()
     assert rows(query(tables, "SELECT ?p ?o WHERE { <urn:nation:3> ?p ?o }"))[0][0].startswith("http://www.w3.org")
+
+
+def test_optional_parts_of_unbound_variables(spark):
+    """What may be unbound meets by equality where it is bound; before, all rows met all in one comparison."""
+    rows = [("urn:a", "urn:k", "urn:x"), ("urn:a", "urn:k", "urn:y"), ("urn:b", "urn:j", "urn:y"), ("urn:c", "urn:t", "urn:d"), ("urn:a", "urn:t", "urn:d"), ("urn:b", "urn:t", "urn:d"), ("urn:x", "urn:v", "urn:1"), ("urn:z", "urn:v", "urn:2"), ("urn:b", "urn:w", "urn:y")]
+    t = triples(spark, rows)
+    ask = lambda text: {tuple((x or "").removeprefix("urn:") for x in r) for r in plain(query(t, text)).collect()}
+    first = "SELECT ?n ?s ?v WHERE { ?n <urn:t> ?d OPTIONAL { ?n <urn:k> ?s } "
+    every = {("b", "x", "1"), ("b", "z", "2"), ("c", "x", "1"), ("c", "z", "2")}
+    assert ask(first + "OPTIONAL { ?s <urn:v> ?v } }") == {("a", "x", "1"), ("a", "y", "")} | every
+    assert ask(first + "OPTIONAL { ?s <urn:none> ?v } }") == {("a", "x", ""), ("a", "y", ""), ("b", "", ""), ("c", "", "")}
+    assert ask(first + "OPTIONAL { ?s <urn:v> ?v FILTER(?v = <urn:2>) } }") == {("a", "x", ""), ("a", "y", ""), ("b", "z", "2"), ("c", "z", "2")}
+    assert ask("SELECT ?n ?s ?u WHERE { ?n <urn:t> ?d OPTIONAL { ?n <urn:k> ?s } OPTIONAL { ?n <urn:j> ?u } OPTIONAL { ?s <urn:w> ?u } }") == {("a", "x", ""), ("a", "y", ""), ("b", "b", "y"), ("c", "b", "y")}
+    plan = query(t, first + "OPTIONAL { ?s <urn:v> ?v } }")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join LeftOuter" in x and " OR " in x.upper()]
